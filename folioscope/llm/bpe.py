@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a traversal of a prefix trie.
 
-The distinct pre-token words of an Arrow batch go into a trie, here as a sorted list: neighbours share their longest
+The distinct pre-token words of a stretch of texts go into a trie, here as a sorted list: neighbours share their longest
 common prefix, which is a depth-first walk. Each node keeps its last token. The encoding of a prefix is the encoding
 of a shorter prefix plus one token, and there is exactly one token for which that holds: it ends the prefix, and it
 and the last token before it stand when encoded together. So a node needs only the last-token states of its
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import only, table
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+STRETCH = 1_000_000
 
 
 def _alphabet() -> dict[str, int]:
@@ -48,7 +50,7 @@ class Codec:
         self.merge = {}
         for rank, (a, b) in enumerate(pairs):
             self.merge.setdefault((as_id(a), as_id(b)), (rank, as_id(a + b)))
-        self.longest = max(map(len, self.id_of))
+        self.tails = {t[i:] for t in self.id_of for i in range(len(t))}
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.stands: dict[tuple[int, int], bool] = {}
@@ -82,7 +84,7 @@ class Codec:
 
     def walk(self, words: list[str]) -> None:
         """Depth-first over the trie of ``words``; fills the cache with their ids as packed bytes."""
-        last, size, past = [-1], [0], b""
+        last, size, past, tails, id_of = [-1], [0], b"", self.tails, self.id_of
         for word in sorted(w.encode() for w in words):
             n = min(len(word), len(past))
             shared = 0
@@ -90,9 +92,14 @@ class Codec:
                 shared += 1
             del last[shared + 1 :], size[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - self.longest), end):
-                    token = self.id_of.get(word[start:end])
-                    if token is not None and self.fits(last[start], token):
+                start, ends = end - 1, []
+                while start >= 0 and (tail := word[start:end]) in tails:  # no token ends so: nor with more before it
+                    token = id_of.get(tail)
+                    if token is not None:
+                        ends.append((start, token))
+                    start -= 1
+                for start, token in reversed(ends):
+                    if self.fits(last[start], token):
                         last.append(token)
                         size.append(end - start)
                         break
@@ -114,20 +121,28 @@ class Codec:
             at = m.end()
         return out + self.words.findall(text[at:])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed little-endian ids per text."""
-        out = []
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Packed little-endian ids per text; one trie per stretch of about ``STRETCH`` characters."""
+        held, size = [], 0
         for text in texts:
-            words = self.pieces(text or "")
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            for t, i in self.special.items():
-                self.cache[t] = i.to_bytes(4, "little")
-            fresh = {w for w in words if w not in self.cache}
-            if fresh:
-                self.walk(list(fresh))
-            out.append(b"".join([self.cache[w] for w in words]))
-        return out
+            held.append(self.pieces(text or ""))
+            size += len(text or "")
+            if size >= STRETCH:
+                yield from self._stretch(held)
+                held, size = [], 0
+        yield from self._stretch(held)
+
+    def _stretch(self, held: list[list[str]]) -> Iterator[bytes]:
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        for t, i in self.special.items():
+            self.cache[t] = i.to_bytes(4, "little")
+        cache = self.cache
+        fresh = {w for words in held for w in words if w not in cache}
+        if fresh:
+            self.walk(list(fresh))
+        for words in held:
+            yield b"".join([cache[w] for w in words])
 
     def decode(self, packed: bytes) -> str:
         ids = memoryview(packed).cast("I")
@@ -145,7 +160,7 @@ def encoded(text: Column, path: str | None = None) -> Column:
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(codec(path).encode(list(texts)))
+        return pd.Series(list(codec(path).encode(texts)))
 
     return of(text)
 
@@ -167,8 +182,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def of(texts: pd.Series) -> pd.DataFrame:
         c, rows = codec(path), []
-        for text in texts:
-            (ids,) = c.encode([text])
+        for ids in c.encode(texts):
             back = c.decode(ids).encode()
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
