@@ -4,8 +4,8 @@ The distinct pre-token words of a stretch of texts go into a trie, here as a sor
 common prefix, which is a depth-first walk. Each node keeps its last token. The encoding of a prefix is the encoding
 of a shorter prefix plus one token, and there is exactly one token for which that holds: it ends the prefix, and it
 and the last token before it stand when encoded together. So a node needs only the last-token states of its
-ancestors, and a shared prefix is encoded once. Whether two tokens stand together is found by merging them alone, and
-kept. Decoding looks ids up in the byte table. The vocabulary file is read by each worker from ``path``.
+ancestors, and a shared prefix is encoded once. Whether two tokens stand together is found by undoing their merges,
+and kept. Decoding looks ids up in the byte table. The vocabulary file is read by each worker from ``path``.
 
 A null text is the empty text: no ids. Rows are independent, so repeated rows, ties and extra columns change nothing.
 """
@@ -17,6 +17,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 import public_tokenizers
 import regex
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import only, table
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 STRETCH = 1_000_000
+LONG = 48
 
 
 def _alphabet() -> dict[str, int]:
@@ -48,17 +50,27 @@ class Codec:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in held["model"]["merges"])
         as_id = lambda t: self.id_of[bytes(back[c] for c in t)]
         self.merge = {}
+        self.rank, self.split = dict.fromkeys(self.bytes_of, -1), {}
         for rank, (a, b) in enumerate(pairs):
-            self.merge.setdefault((as_id(a), as_id(b)), (rank, as_id(a + b)))
-        self.tails = {t[i:] for t in self.id_of for i in range(len(t))}
+            pair, whole = (as_id(a), as_id(b)), as_id(a + b)
+            self.merge.setdefault(pair, (rank, whole))
+            if whole not in self.split:
+                self.split[whole], self.rank[whole] = pair, rank
+        self.ends = ahocorasick.Automaton()  # all tokens that end at a byte, in one pass
+        for t, i in self.id_of.items():
+            self.ends.add_word(t.decode("latin-1"), (i, len(t)))
+        self.ends.make_automaton()
+        self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.stands: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
 
     def merged(self, data: bytes) -> list[int]:
-        """Plain merging, used on single tokens and on pairs of tokens."""
+        """Plain merging, used on single tokens."""
         ids = [self.id_of[bytes((b,))] for b in data]
         while len(ids) > 1:
             best = min(((self.merge[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merge), default=None)
@@ -68,48 +80,59 @@ class Codec:
             ids[i : i + 2] = [self.merge[ids[i], ids[i + 1]][1]]
         return ids
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Undo the merges of two tokens, last one first: no merge across their border may have come sooner."""
+        ranks, limit = self.rank, 1 << 60
+        while True:
+            across = self.merge.get((a, b))
+            if across is not None and across[0] < limit:
+                return False
+            if ranks[a] > ranks[b]:
+                limit, a = ranks[a], self.split[a][1]
+            elif ranks[b] < 0:
+                return True
+            else:  # at one rank the left place merges first
+                limit, b = ranks[b] + 1, self.split[b][0]
+
     def fits(self, before: int, token: int) -> bool:
         if before < 0:
             known = self.alone.get(token)
             if known is None:
                 known = self.alone[token] = self.merged(self.bytes_of[token]) == [token]
             return known
-        known = self.stands.get((before, token))
-        if known is None:
-            if len(self.stands) > 1_000_000:
-                self.stands.clear()
-            both = self.merged(self.bytes_of[before] + self.bytes_of[token])
-            known = self.stands[before, token] = both == [before, token]
+        if len(self.stands) > 1_000_000:
+            self.stands.clear()
+        known = self.stands[before, token] = self._apart(before, token)
         return known
 
     def walk(self, words: list[str]) -> None:
         """Depth-first over the trie of ``words``; fills the cache with their ids as packed bytes."""
-        last, size, past, tails, id_of = [-1], [0], b"", self.tails, self.id_of
+        last, size, past = [-1], [0], b""
+        fits, stands, spell = self.fits, self.stands, self.packed
         for word in sorted(w.encode() for w in words):
             n = min(len(word), len(past))
             shared = 0
             while shared < n and word[shared] == past[shared]:
                 shared += 1
             del last[shared + 1 :], size[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                start, ends = end - 1, []
-                while start >= 0 and (tail := word[start:end]) in tails:  # no token ends so: nor with more before it
-                    token = id_of.get(tail)
-                    if token is not None:
-                        ends.append((start, token))
-                    start -= 1
-                for start, token in reversed(ends):
-                    if self.fits(last[start], token):
-                        last.append(token)
-                        size.append(end - start)
-                        break
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
+            done = shared
+            for at, (token, wide) in self.ends.iter(word.decode("latin-1")):
+                if at < done:
+                    continue
+                before = last[at + 1 - wide]
+                known = stands.get((before, token))
+                if fits(before, token) if known is None else known:
+                    last.append(token)
+                    size.append(wide)
+                    done += 1
+            if done < len(word):
+                raise ValueError("the vocabulary lacks a byte")
             ids, at = [], len(word)
             while at:
-                ids.append(last[at])
+                ids.append(spell[last[at]])
                 at -= size[at]
-            self.cache[word.decode()] = b"".join(i.to_bytes(4, "little") for i in reversed(ids))
+            ids.reverse()
+            self.cache[word.decode()] = b"".join(ids)
             past = word
 
     def pieces(self, text: str) -> list[str]:
@@ -121,32 +144,60 @@ class Codec:
             at = m.end()
         return out + self.words.findall(text[at:])
 
+    @staticmethod
+    def chunks_of(text: str) -> list[str]:
+        """Cut before each space that a visible character follows: no pre-token word crosses such a place."""
+        parts = text.split(" ")
+        if all(c and not c[0].isspace() for c in parts[1:]):
+            return parts
+        out, run = [], parts[:1]
+        for c in parts[1:]:
+            if c and not c[0].isspace():
+                out.append(" ".join(run))
+                run = [c]
+            else:
+                run.append(c)
+        return [*out, " ".join(run)]
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Packed little-endian ids per text; one trie per stretch of about ``STRETCH`` characters."""
         held, size = [], 0
         for text in texts:
-            held.append(self.pieces(text or ""))
-            size += len(text or "")
+            text = text or ""
+            if self.cut is not None and self.cut.search(text):
+                held.append((self.pieces(text), []))
+            else:
+                first, *rest = self.chunks_of(text)
+                held.append((self.words.findall(first), rest))
+            size += len(text)
             if size >= STRETCH:
                 yield from self._stretch(held)
                 held, size = [], 0
         yield from self._stretch(held)
 
-    def _stretch(self, held: list[list[str]]) -> Iterator[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+    def _stretch(self, held: list[tuple[list[str], list[str]]]) -> Iterator[bytes]:
+        cache, chunks = self.cache, self.chunks
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        if len(chunks) > CACHE_WORDS:
+            chunks.clear()
         for t, i in self.special.items():
-            self.cache[t] = i.to_bytes(4, "little")
-        cache = self.cache
-        fresh = {w for words in held for w in words if w not in cache}
-        if fresh:
-            self.walk(list(fresh))
-        for words in held:
-            yield b"".join([cache[w] for w in words])
+            cache[t] = self.packed[i]
+        fresh = {c: self.words.findall(" " + c) for c in set().union(*[rest for _, rest in held]) if c not in chunks}
+        need = {w for words in fresh.values() for w in words if w not in cache}
+        need |= {w for first, _ in held for w in first if w not in cache}
+        self.walk(list(need))
+        for c, words in fresh.items():
+            chunks[c] = b"".join([cache[w] for w in words])
+        for first, rest in held:
+            yield b"".join([*[cache[w] for w in first], *[chunks[c] for c in rest]])
+        for known in (fresh, need):  # long ones rarely come again and would fill the caches
+            for c in known:
+                if len(c) > LONG:
+                    (chunks if known is fresh else cache).pop(c)
 
     def decode(self, packed: bytes) -> str:
-        ids = memoryview(packed).cast("I")
-        return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.table.__getitem__, memoryview(packed).cast("I"))).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
