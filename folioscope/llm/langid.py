@@ -30,7 +30,7 @@ LETTER = re.compile(r"[^\W\d_]")
 class Net:
     def __init__(self, langs: list[str], window: int, emb: int = 8, filters: int = 16, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.langs, self.window = langs, window
+        self.langs, self.window, self.tables = langs, window, None
         f32 = lambda *s, k=0.3: (rng.standard_normal(s) * k).astype(np.float32)
         self.p = {"E": f32(256, emb)} | {f"K{w}": f32(w * emb, filters, k=(w * emb) ** -0.5) for w in WIDTHS}
         self.p |= {f"c{w}": np.zeros(filters, np.float32) for w in WIDTHS}
@@ -49,6 +49,28 @@ class Net:
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True)), cols, tops, pool
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """The log-probabilities of ``forward``. A filter is linear in the bytes, so tables per byte pair stand for it."""
+        if self.tables is None:
+            emb, one = self.p["E"].shape[1], {}
+            for w in WIDTHS:
+                one[w] = [self.p["E"] @ self.p[f"K{w}"][i * emb : (i + 1) * emb] for i in range(w)]
+            self.tables = {
+                w: [(i, (t[i][:, None] + t[i + 1][None]).reshape(1 << 16, -1)) for i in range(0, w - 1, 2)] + ([(w - 1, t[w - 1])] if w % 2 else [])
+                for w, t in one.items()
+            }
+        x = x.astype(np.intp)
+        pair, pools = (x[:, :-1] << 8) | x[:, 1:], []
+        for w, parts in self.tables.items():
+            n, h = x.shape[1] - w + 1, None
+            for i, t in parts:
+                got = np.take(t, (x if len(t) == 256 else pair)[:, i : i + n], axis=0)
+                h = got if h is None else np.add(h, got, out=h)
+            pools.append(np.maximum(h.max(axis=1) + self.p[f"c{w}"], 0))
+        z = np.concatenate(pools, axis=1) @ self.p["W"] + self.p["b"]
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
     def step(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         logp, cols, tops, pool = self.forward(x)
         dz = np.exp(logp)
@@ -89,8 +111,8 @@ class Net:
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0
         x, total = self.windows(text), np.zeros(len(self.langs))
-        for at in range(0, len(x), 128):
-            total += self.forward(x[at : at + 128])[0].sum(axis=0)
+        for at in range(0, len(x), 32):
+            total += self.scores(x[at : at + 32]).sum(axis=0)
         p = np.exp(total / len(x) - (total / len(x)).max())
         p /= p.sum()
         best = int(p.argmax())
