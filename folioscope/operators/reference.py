@@ -139,3 +139,45 @@ def j10_intent(spark, sf_dir):
     n = F.col("n_chars")
     bucket = F.when(n < 1000, "small").when(n < 5000, "medium").otherwise("large")
     return _t(spark, sf_dir, "documents").groupBy(bucket.alias("bucket"), "source").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_type AS key, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a,
+count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY event_type""")
+def d9_histogram_diff(spark, sf_dir):
+    """Counts of each key on two sides, here the halves of the month; both sides in one pass, no join."""
+    later = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    return _t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(
+        F.count_if(~later).alias("a"), F.count_if(later).alias("b")
+    )
+
+
+@query("""SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def e5_event_counts(spark, sf_dir):
+    """E5: histogram of event types per file."""
+    return _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS failed,
+count(*) FILTER (o_orderstatus = 'P') AS caveats, count(*) FILTER (o_orderstatus = 'O') AS converted FROM orders""")
+def e13_run_summary(spark, sf_dir):
+    """One row of outcome counts."""
+    of = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    return _t(spark, sf_dir, "orders").agg(
+        F.count("*").alias("total"), of("F").alias("failed"), of("P").alias("caveats"), of("O").alias("converted")
+    )
+
+
+@query("""SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id
+ORDER BY turn RANGE UNBOUNDED PRECEDING) AS BIGINT) AS page FROM conversations""")
+def f1_page_number(spark, sf_dir):
+    """running count of page starts in document order; a user turn starts a page."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, 0)
+    page = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w)
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", page.alias("page"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 0 THEN CAST(p_size AS DOUBLE) ELSE 612.0 END AS width FROM part""")
+def f2_page_size(spark, sf_dir):
+    """page width, the default where it is missing or not positive."""
+    width = F.when(F.col("p_size") > 0, F.col("p_size").cast("double")).otherwise(612.0)
+    return _t(spark, sf_dir, "part").select("p_partkey", width.alias("width"))
