@@ -49,7 +49,7 @@ def _valid(kind: Column, found: Column) -> Column:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` and a row number that is fixed by the scan."""
+    """The columns of ``docs`` and a row number, fixed by the scan: write it before a second job reads it."""
     return docs.withColumn("_rid", F.monotonically_increasing_id())
 
 
@@ -125,7 +125,7 @@ def _joined(found: Column) -> Column:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = numbered(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    rows = written(numbered(only(table(spark, sf_dir, "documents"), "doc_id", "text")))
     found = spans(rows.select("_rid", "text"))
     found = found.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"))
     rows = rows.select("_rid", "doc_id").join(found, "_rid", "left")
@@ -140,7 +140,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of its text generalised to its kind, as [EMAIL]; overlapping spans become one."""
-    rows = numbered(docs)
+    rows = written(numbered(docs))
     found = spans(rows.select("_rid", "text"))
     order = Window.partitionBy("_rid").orderBy("start", "kind", "end")
     past = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -260,6 +260,28 @@ def test_pii(spark, docs, odd):
     assert "[EMAIL]" in out[8] and "4111" not in out[8] and out[1] is None and out[2] == ""
 
 
+def test_pii_survives_another_split(spark, tmp_path, monkeypatch):
+    """The scan is split anew between the spans and the cut, as when executors come or go."""
+    texts = [(i, f"mail user{i}@host.org now" if i % 2 else "nothing to see") for i in range(64)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    spans, key = pii.spans, "spark.sql.files.maxPartitionBytes"
+
+    def then_split(rows, *args):
+        found = pii.written(spans(rows, *args))
+        spark.conf.set(key, "200")
+        return found
+
+    monkeypatch.setattr(pii, "spans", then_split)
+    try:
+        out = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+        spark.conf.unset(key)
+        got = {r["doc_id"]: r["n_email"] for r in pii.op10_pii(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert out == {i: t.replace(f"user{i}@host.org", "[EMAIL]") for i, t in texts}
+    assert got == {i: i % 2 for i, _ in texts}
+
+
 def test_pipeline(spark, docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "near_dedup", "decontamination", "pii", "bpe"]
