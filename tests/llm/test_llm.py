@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from folioscope.llm import ann, bpe, decontam, html, langid, licences, pii, simhash, substrings, toxicity
+from folioscope.llm import ann, bpe, decontam, html, langid, licences, neardup, pii, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 BLANKS = "[^\x20\x09-\x0d]+"
@@ -96,6 +96,34 @@ def test_simhash_hot_shards(spark):
     assert {r["component"] for r in got} == {0} and len(got) == len(near) - 1
 
 
+def test_stage_links_at_similarity(spark):
+    """Against brute-force Jaccard: edited copies at 0.8 and over go, all below stay; heavy pieces in cells alike."""
+    rng, texts = np.random.default_rng(3), []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(1 << 20, size=200)]
+        for changed in (0, 1, 2, 4, 7, 12):
+            copy = [*base]
+            for at in rng.choice(200, changed, replace=False):
+                copy[at] = f"x{rng.integers(1 << 20)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    comp = np.arange(len(sets))
+    while True:
+        old = comp.copy()
+        for i in range(len(sets)):
+            for j in range(i // 6 * 6, i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+        if (old == comp).all():
+            break
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(np.flatnonzero(comp == np.arange(len(sets))).tolist())
+    assert 40 < len(want) < 240
+    assert {r["doc_id"] for r in simhash.stage(spark, df, SF).collect()} == want
+    cells = neardup.near_duplicates(df, weight=400).filter("doc_id = component_id")
+    assert {r["doc_id"] for r in cells.collect()} == want
+
+
 def test_vantage_tree_finds_all():
     x = np.random.default_rng(2).integers(0, 1 << 10, 3000).astype(np.uint64)
     tree = simhash.VantageTree(x, leaf=16)
