@@ -4,12 +4,14 @@ Base spans come from four patterns. Positions follow from the text between match
 walk the same matches, and running sums of their lengths give starts. The patterns are the contract's, written with
 possessive loops and run starts so that no long text makes them walk a run twice.
 
-Terms that give an entity away are found by co-occurrence over the corpus: a term within ``reach`` code points of an
-entity discloses it if it stands near that entity in at least ``contexts`` different contexts, if at least ``share``
-of all its occurrences in the corpus are near it, and if so it tells ``bits`` bits: log2(P(entity | term) /
-P(entity)). Its occurrences near that entity become `term` spans.
-
-Null or empty text: no spans. Repeated rows are found apart and alike, and copies of one context count once towards
+Terms that give an entity away are found by co-occurrence in whole documents. Protected are each kind and each exact
+string of a kind; with p(e) the share of documents that hold entity e, a document tells log2(1 / p(e)) bits by holding
+it, and a term t tells log2(p(e | t) / p(e)) of them. A term discloses e if it tells at least ``share`` of e's own
+information and stands with e in at least ``contexts`` different texts. The measure is relative, so an entity of a hot
+source can reach it as well as a rare one. All occurrences of the term in documents with e become `term` spans. Words
+inside an email are no terms.
+
+Null or empty text: no spans. Repeated rows are found apart and alike, and copies of one text count once towards
 ``contexts``. No documents: no rows. Extra columns are ignored.
 """
 
@@ -30,6 +32,7 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 TERM = r"\p{L}{4,}"
+WORDS = rf"(?:{PATTERNS[0]})|{TERM}"  # an email is taken whole, so that its parts are no terms
 
 
 def _valid(kind: Column, found: Column) -> Column:
@@ -73,49 +76,52 @@ def matches(rows: DataFrame, reach: int) -> DataFrame:
     return held.filter(_valid(F.col("kind"), F.col("found")))
 
 
-def _terms(context: Column) -> Column:
-    """Array of (term, start in the context, end)."""
-    found = F.regexp_extract_all(context, F.lit(TERM), F.lit(0))
-    gaps = F.split(context, TERM, -1)
-
-    def at(term: Column, i: Column) -> Column:
-        sum_of = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda t, x: t + F.length(x))
-        start = sum_of(gaps, i + 1) + sum_of(found, i)
-        return F.struct(F.lower(term).alias("term"), start.alias("s"), (start + F.length(term)).alias("e"))
-
-    return F.transform(found, at)
-
-
-def disclosing(rows: DataFrame, base: DataFrame, contexts: int, share: float, bits: float) -> DataFrame:
-    """_rid, kind, start, end of the terms that give an entity away."""
-    entity = F.lower("found").alias("entity")
-    before = F.transform(
-        _terms(F.col("before")),
-        lambda t: F.struct(t["term"].alias("term"), (F.col("start") - F.length("before") + t["s"]).alias("s"), (F.col("start") - F.length("before") + t["e"]).alias("e")),
-    )
-    after = F.transform(
-        _terms(F.col("after")),
-        lambda t: F.struct(t["term"].alias("term"), (F.col("end") + t["s"]).alias("s"), (F.col("end") + t["e"]).alias("e")),
-    )
-    near = base.select("_rid", entity, F.xxhash64("before", "after").alias("c"), F.explode(F.concat(before, after)).alias("t"))
-    near = near.select("_rid", "entity", "c", "t.term", F.col("t.s").alias("start"), F.col("t.e").alias("end"))
-    pairs = near.groupBy("term", "entity", "c").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("term", "entity").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
-    pairs = pairs.filter(F.col("contexts") >= contexts)
-    words = rows.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("all"))
-    sizes = base.groupBy(entity).agg(F.count("*").alias("of"))
-    total = base.count()
-    told = F.log2((F.col("n") / F.col("all")) / (F.col("of") / F.lit(max(total, 1))))
-    strong = pairs.join(counts, "term").join(sizes, "entity")
-    strong = strong.filter((F.col("n") >= share * F.col("all")) & (told >= bits)).select("term", "entity")
-    return near.join(strong, ["term", "entity"]).select("_rid", F.lit(4).alias("kind"), "start", "end").distinct()
-
-
-def spans(rows: DataFrame, reach: int = 40, contexts: int = 3, share: float = 0.5, bits: float = 6.0) -> DataFrame:
+def _terms(text: Column) -> Column:
+    """Array of the distinct terms of a text."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), lambda w: ~w.contains("@"))
+    return F.array_distinct(F.transform(found, lambda w: F.lower(w)))
+
+
+def disclosing(rows: DataFrame, base: DataFrame, contexts: int, share: float) -> DataFrame:
+    """_rid, kind, start, end of the terms that give an entity away, from rows(_rid, text)."""
+    name = F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    entity = F.explode(F.array(name, F.concat_ws(":", name, F.lower("found")))).alias("entity")
+    entities = base.select("_rid", entity).distinct()
+    # Only texts with a base span are read for pairs; entities and terms in too few texts can pass no threshold.
+    own = rows.join(base.select("_rid").distinct(), "_rid", "left_semi")
+    own = written(own.select("_rid", F.xxhash64("text").alias("c"), F.explode(_terms(F.col("text"))).alias("term")))
+    texts = own.select("_rid", "c").distinct()
+    sizes = entities.join(texts, "_rid").groupBy("entity").agg(F.count("*").alias("of"), F.count_distinct("c").alias("texts"))
+    sizes = sizes.filter(F.col("texts") >= contexts).select("entity", "of")
+    total = max(rows.count(), 1)
+    # told >= share * information is p(e | t) >= p(e) ** (1 - share): n of all.
+    sizes = sizes.withColumn("least", F.pow(F.col("of") / F.lit(total), F.lit(1 - share)))
+    sizes = written(sizes)
+    counts = rows.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("all"))
+    counts = written(counts.filter(F.col("all") >= contexts))
+    held = written(entities.join(sizes, "entity"))
+    near = own.join(counts, "term").join(held, "_rid").filter(F.col("least") * F.col("all") <= F.col("of"))
+    pairs = near.groupBy("term", "entity", "c", "least", "all").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("term", "entity", "least", "all").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
+    strong = pairs.filter((F.col("contexts") >= contexts) & (F.col("n") >= F.col("least") * F.col("all")))
+    strong = written(strong.select("term", "entity"))
+    cut = own.select("_rid", "term").join(strong, "term").join(held.select("_rid", "entity"), ["_rid", "entity"])
+    cut = written(cut.select("_rid", "term").distinct())
+    # Places of every word of the texts that lose one, by running sums as for base spans.
+    texts = rows.join(cut.select("_rid").distinct(), "_rid", "left_semi")
+    gaps = F.transform(F.split("text", WORDS, -1), lambda g: F.length(g))
+    found = texts.select("_rid", gaps.alias("gaps"), F.posexplode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("i", "word"))
+    found = found.select("_rid", "i", "word", F.get("gaps", F.col("i")).alias("g"))
+    upto = Window.partitionBy("_rid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("g") + F.length("word")).over(upto)
+    found = found.select("_rid", F.lower("word").alias("term"), (end - F.length("word")).alias("start"), end.alias("end"))
+    return found.join(cut, ["_rid", "term"]).select("_rid", F.lit(4).alias("kind"), "start", "end")
+
+
+def spans(rows: DataFrame, contexts: int = 3, share: float = 0.75) -> DataFrame:
     """_rid, kind, start, end of every span of rows(_rid, text)."""
-    base = written(matches(rows, reach))
-    more = disclosing(rows, base, contexts, share, bits)
+    base = written(matches(rows, 0).select("_rid", "kind", "start", "end", "found"))
+    more = disclosing(rows, base, contexts, share)
     return base.select("_rid", "kind", "start", "end").unionByName(more)
 
 

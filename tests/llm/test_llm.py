@@ -288,9 +288,27 @@ def test_pii(spark, docs, odd):
     assert "[EMAIL]" in out[8] and "4111" not in out[8] and out[1] is None and out[2] == ""
 
 
+def test_pii_terms_tell_of_entities(spark):
+    """A term far from a rare entity, and one of a source with a third of the rows; words met anywhere are none."""
+    far, texts = " ".join(["common"] * 30), []
+    for i in range(90):
+        if i % 3 == 0:
+            texts.append((i, f"zanzibar {far} number{i} mail desk@hot.org"))
+        elif i < 12:
+            texts.append((i, f"Quokka {far} item{i} at 10.0.0.7"))
+        else:
+            texts.append((i, f"{far} plain text {i}"))
+    rows = pii.written(pii.numbered(spark.createDataFrame(texts, "doc_id long, text string")))
+    text = {r["_rid"]: r["text"] for r in rows.collect()}
+    got = {(text[r["_rid"]][r["start"] : r["end"]]) for r in pii.spans(rows).filter("kind = 4").collect()}
+    assert {"zanzibar", "Quokka"} <= got and not got & {"common", "plain", "text", "desk"}
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert out[0].startswith("[TERM] common") and out[1].startswith("[TERM] common") and out[20] == texts[20][1]
+
+
 def test_pii_survives_another_split(spark, tmp_path, monkeypatch):
     """The scan is split anew between the spans and the cut, as when executors come or go."""
-    texts = [(i, f"mail user{i}@host.org now" if i % 2 else "nothing to see") for i in range(64)]
+    texts = [(i, f"mail user{i}@host.org now" if i % 2 else "mail nothing now") for i in range(64)]
     spark.createDataFrame(texts, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
     spans, key = pii.spans, "spark.sql.files.maxPartitionBytes"
 
