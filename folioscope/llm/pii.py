@@ -110,8 +110,10 @@ def disclosing(rows: DataFrame, base: DataFrame, contexts: int, share: float) ->
     # Places of every word of the texts that lose one, by running sums as for base spans.
     texts = rows.join(cut.select("_rid").distinct(), "_rid", "left_semi")
     gaps = F.transform(F.split("text", WORDS, -1), lambda g: F.length(g))
-    found = texts.select("_rid", gaps.alias("gaps"), F.posexplode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("i", "word"))
-    found = found.select("_rid", "i", "word", F.get("gaps", F.col("i")).alias("g"))
+    # Word and gap in one row: an array beside the exploded words would be copied for each of them.
+    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("word"), gaps.alias("g"))
+    found = texts.select("_rid", F.posexplode(both).alias("i", "w")).select("_rid", "i", "w.word", "w.g")
+    found = found.filter("word is not null")
     upto = Window.partitionBy("_rid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("g") + F.length("word")).over(upto)
     found = found.select("_rid", F.lower("word").alias("term"), (end - F.length("word")).alias("start"), end.alias("end"))
