@@ -38,7 +38,7 @@ WORDS = rf"(?:{PATTERNS[0]})|{TERM}"  # an email is taken whole, so that its par
 def _valid(kind: Column, found: Column) -> Column:
     digits = F.regexp_replace(found, "[^0-9]", "")
     n = F.length(digits)
-    parts = F.transform(F.split(found, r"\."), lambda p: F.ltrim(F.lit("0"), p))
+    parts = F.transform(F.split(found, r"\."), lambda p: F.ltrim(p, F.lit("0")))
     ip = F.forall(parts, lambda p: (F.length(p) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 255))
 
     def add(total: Column, i: Column) -> Column:

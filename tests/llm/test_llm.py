@@ -334,3 +334,15 @@ def test_pipeline(spark, docs):
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert 0 < len(got) < len(docs) and got.doc_id.is_unique
     assert "pipeline" in __spark_entry__.queries()
+
+
+def test_pii_addresses(spark):
+    texts = ["ip 999.1.1.1 x", "1.2.3.256", "0000255.001.02.3", "1.2.3.4.5.6.7.8", "256.1.1.1.1", "000.0.0.0", "10.0.0.255,"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.written(pii.numbered(df))
+    text = {r["_rid"]: r["text"] for r in rows.collect()}
+    got = {t: "" for t in texts}
+    for r in sorted(pii.matches(rows, 0).collect(), key=lambda r: (r["start"], r["kind"])):
+        t = text[r["_rid"]]
+        got[t] += ("," if got[t] else "") + f"{pii.KINDS[r['kind']]}:{r['start']}:{r['end']}"
+    assert got == {t: spans_of(t) for t in texts} and not got["ip 999.1.1.1 x"]
