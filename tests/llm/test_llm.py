@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
@@ -92,8 +93,33 @@ def test_simhash_hot_shards(spark):
         near.append(near[rng.integers(len(near))] ^ (1 << int(rng.integers(63))))
     near = sorted(set(near))
     nodes = spark.createDataFrame([(x, i) for i, x in enumerate(near)], "fp long, rep long")
-    got = simhash.components(simhash.links(nodes, shard_rows=32)).collect()
-    assert {r["component"] for r in got} == {0} and len(got) == len(near) - 1
+    for most in (32, 65_536):  # by midpoints, and by rings and trees
+        got = simhash.components(simhash.links(nodes, shard_rows=most)).collect()
+        assert {r["component"] for r in got} == {0} and len(got) == len(near) - 1
+
+
+def test_simhash_fingerprint_is_the_rule(spark, odd):
+    """An own reading of the rule, bit by bit; odd rows; more blocks once there are many fingerprints."""
+
+    def want(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        w, ones = re.findall(BLANKS, low), [0] * 64
+        grams = [w[i : i + 4] for i in range(len(w) - 3)] if len(w) >= 4 else [w] if w else []
+        for g in grams:
+            h = xxhash.xxh64_intdigest(" ".join(g).encode(), 42)
+            for i in range(64):
+                ones[i] += h >> i & 1
+        return sum(1 << i for i in range(64) if 2 * ones[i] > len(grams))
+
+    rng = np.random.default_rng(8)
+    texts = ["", None, "A b", "a B", " x\ty\x0bz \xa0 \n", "\u0130 \u00c9 one two"]
+    texts += [" ".join(rng.choice(["Alpha", "b", "\u00dcber", "d\x0c", "e"], int(rng.integers(1, 60)))) for _ in range(200)]
+    assert [simhash.fingerprint(t) for t in texts] == [want(t) for t in texts]
+    got = simhash.near_duplicates(odd).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in odd.collect())
+    assert {r["component_id"] for r in got if r["fp"] == 0} == {1}
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+    assert [len(simhash.blocks_for(n, 4)) for n in (0, 1 << 20, 1 << 26, 1 << 31)] == [7, 7, 8, 9]
 
 
 def test_stage_links_at_similarity(spark):
@@ -126,9 +152,13 @@ def test_stage_links_at_similarity(spark):
 
 def test_vantage_tree_finds_all():
     x = np.random.default_rng(2).integers(0, 1 << 10, 3000).astype(np.uint64)
-    tree = simhash.VantageTree(x, leaf=16)
-    for v in x[:40]:
-        assert set(tree.near(v, 2)) == set(np.flatnonzero(np.bitwise_count(x ^ v) <= 2))
+    tree = simhash.VantageTree(x)
+    assert len(tree.nodes) > 100
+    for _ in range(2):
+        q, v = tree.near(x[:40], 2)
+        for i in range(40):
+            assert set(v[q == i]) == set(np.flatnonzero((np.bitwise_count(x ^ x[i]) <= 2) & tree.live))
+        tree.drop(np.arange(50, 2000))
 
 
 def test_decontamination(spark, odd):
