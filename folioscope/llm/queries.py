@@ -1,4 +1,4 @@
-"""The operators' queries over their whole tables. No SQL is given: see the README."""
+"""The operators' queries over their whole tables, and SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -12,4 +12,4 @@ QUERIES = {
         pii.op10_pii,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_substring_dedup": substrings.SQL}
