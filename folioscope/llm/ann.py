@@ -1,16 +1,18 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids are fitted by k-means on a bounded sample (``sample_rows``, smallest hash first); every row is indexed. A
-vector goes to its nearest centroid and, near a boundary, to each of the next ones within ``near`` times that distance
-(at most ``copies`` lists). Centroids are found through an in-memory graph: each is tied to its nearest centroids and a
-best-first walk keeps a beam. A query reads the lists whose centroid lies within ``prune`` times its nearest one's
-distance, at least ``least`` of them. Lists above ``list_rows`` are dealt to slots by hash, and queries visit every
-slot of a list, so no task holds a list that grows. Per slot only the best k of a query leave the task.
+Centroids are fitted by k-means on a bounded sample (at most ``sample_rows``, smallest hash first); every row is
+indexed. A vector goes to its nearest centroid and, near a boundary, to each other one within ``near`` times that
+distance. Centroids are found through an in-memory graph: each is tied to its nearest centroids and a best-first walk
+settles them nearest first. A query reads the lists whose centroid lies within ``prune`` times its nearest one's
+distance, and at least the share ``least`` of all lists: both follow the table, neither is a ceiling. There is one
+list per ``rows_per_list`` rows, up to ``max_lists`` (the bound of what is broadcast: centroids alone); beyond it lists
+grow. A list above ``list_rows`` rows is dealt to slots by hash and its queries, where they are more than that, to
+turns, so no task holds a list or a crowd of queries that grows. Per slot only the best k of a query leave the task.
 
 Distances are Euclidean in double precision on the original vectors; ties go to the smaller vec_id. Rows with a null
 vec_id, a null, empty or all-zero vector, or a null or non-finite component take no part, nor do vectors whose length
-is not the commonest. Rows that repeat a vec_id count once, with their smallest distance. Fewer candidates than k:
-all that the lists hold, and where lists hold fewer than k, all lists are read. Extra columns are ignored.
+is not the commonest. Rows that repeat a vec_id count once, with their smallest distance. A query that finds fewer than
+k in its lists reads all lists, so it gets all candidates there are. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +41,9 @@ class Centroids:
             if (size == 0).any():  # an empty list takes a point of the fullest ones: keeps the lists balanced
                 full = np.flatnonzero(at == size.argmax())
                 c[size == 0] = sample[rng.choice(full, int((size == 0).sum()))]
-        self.c, self.norm = c, (c * c).sum(1)
-        d = ((c * c).sum(1)[:, None] - 2 * c @ c.T) + self.norm
-        self.graph = np.argsort(d, axis=1)[:, 1 : ties + 1]
+        self.c, norm = c, (c * c).sum(1)
+        near = [np.argsort(norm - 2 * c[i : i + 512] @ c.T, axis=1)[:, 1 : ties + 1] for i in range(0, len(c), 512)]
+        self.graph = np.concatenate(near)
         self.starts = np.unique(np.linspace(0, len(c) - 1, min(len(c), 16)).astype(int))
 
     @staticmethod
@@ -49,30 +51,28 @@ class Centroids:
         n = (c * c).sum(1)
         return np.concatenate([(n - 2 * x[i : i + 4096] @ c.T).argmin(1) for i in range(0, len(x), 4096)])
 
-    def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best-first walk of the graph: ids and distances of about ``width`` nearest centroids, nearest first."""
-        seen = set(self.starts.tolist())
+    def search(self, x: np.ndarray, ratio: float, least: int) -> list[int]:
+        """Best-first walk of the graph: centroids within ``ratio`` times the nearest distance, ``least`` at least."""
+        seen = np.zeros(len(self.c), bool)
+        seen[self.starts] = True
         d = ((self.c[self.starts] - x) ** 2).sum(1)
-        front = [(float(a), int(i)) for a, i in zip(d, self.starts)]
-        best = [(-a, i) for a, i in front]
+        front = list(zip(d.tolist(), self.starts.tolist()))
         heapq.heapify(front)
-        heapq.heapify(best)
+        settled, best = [], float("inf")
         while front:
             a, i = heapq.heappop(front)
-            if len(best) >= width and a > -best[0][0]:
+            best = min(best, a)
+            if a > best * ratio * ratio and len(settled) >= max(least, 16):
                 break
-            fresh = [j for j in self.graph[i].tolist() if j not in seen]
-            if not fresh:
-                continue
-            seen.update(fresh)
-            for b, j in zip(((self.c[fresh] - x) ** 2).sum(1).tolist(), fresh):
-                if len(best) < width or b < -best[0][0]:
+            settled.append((a, i))
+            ties = self.graph[i]
+            ties = ties[~seen[ties]]
+            if len(ties):
+                seen[ties] = True
+                for b, j in zip(((self.c[ties] - x) ** 2).sum(1).tolist(), ties.tolist()):
                     heapq.heappush(front, (b, j))
-                    heapq.heappush(best, (-b, j))
-                    if len(best) > width:
-                        heapq.heappop(best)
-        got = sorted((-a, i) for a, i in best)
-        return np.array([i for _, i in got]), np.sqrt([a for a, _ in got])
+        settled.sort()
+        return [i for n, (a, i) in enumerate(settled) if n < least or a <= best * ratio * ratio]
 
 
 def _usable(rows: DataFrame) -> DataFrame:
@@ -82,9 +82,38 @@ def _usable(rows: DataFrame) -> DataFrame:
     return rows.filter(F.exists(v, lambda x: x != 0))
 
 
+def _meet(k: int):
+    def run(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(q):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        x, ids, out = np.array(a["embedding"].tolist(), np.float64), a["vec_id"].to_numpy(), []
+        for query, v in zip(q["vec_id"], q["embedding"]):
+            d = np.sqrt(((x - np.asarray(v, np.float64)) ** 2).sum(axis=1))
+            at = np.lexsort((ids, d))
+            at = at[ids[at] != query][:k]
+            out.append((np.full(len(at), query), ids[at], d[at]))
+        query, found, score = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"query_id": query, "vec_id": found, "score": score})
+
+    return run
+
+
+def _read(posted: DataFrame, sizes: DataFrame, asked: DataFrame, k: int, list_rows: int) -> DataFrame:
+    """query_id, vec_id, score: the best k of each list that asked(vec_id, embedding, list) names."""
+    crowds = asked.groupBy("list").agg(F.ceil(F.count("*") / F.lit(list_rows)).cast("int").alias("turns"))
+    plan = written(crowds.join(sizes, "list"))
+    left = posted.join(plan, "list").withColumn("slot", F.expr("cast(pmod(xxhash64(vec_id), slots) as int)"))
+    left = left.withColumn("turn", F.explode(F.expr("sequence(0, turns - 1)"))).drop("slots", "turns")
+    right = asked.join(plan, "list").withColumn("turn", F.expr("cast(pmod(xxhash64(vec_id, 1), turns) as int)"))
+    right = right.withColumn("slot", F.explode(F.expr("sequence(0, slots - 1)"))).drop("slots", "turns")
+    pairs = left.groupBy("list", "slot", "turn").cogroup(right.groupBy("list", "slot", "turn"))
+    found = pairs.applyInPandas(_meet(k), "query_id long, vec_id long, score double")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+
 def neighbours(
-    rows: DataFrame, queries: DataFrame, k: int = 10, sample_rows: int = 20_000, rows_per_list: int = 100,
-    near: float = 1.15, copies: int = 4, prune: float = 1.6, least: int = 24, most: int = 96, list_rows: int = 4000,
+    rows: DataFrame, queries: DataFrame, k: int = 10, sample_rows: int = 65_536, rows_per_list: int = 50,
+    max_lists: int = 8192, near: float = 1.04, prune: float = 1.15, least: float = 0.15, list_rows: int = 4000,
 ) -> DataFrame:
     """query_id, rank, vec_id, score. ``queries`` has the columns of ``rows``."""
     spark = rows.sparkSession
@@ -94,48 +123,27 @@ def neighbours(
     if wide is None:
         return spark.createDataFrame([], schema)
     rows, queries = (x.filter(F.size("embedding") == wide["d"]) for x in (rows, queries))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
-    lists = int(min(2048, max(8, wide["count"] // rows_per_list)))
+    lists = int(min(max_lists, max(8, wide["count"] // rows_per_list)))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample_rows, 20 * lists)).toPandas()
     held = spark.sparkContext.broadcast(Centroids(np.array(sample["embedding"].tolist(), np.float64), lists))
 
-    @F.pandas_udf("array<int>")
-    def home(vectors: pd.Series) -> pd.Series:
-        out = []
-        for x in vectors:
-            ids, d = held.value.search(np.asarray(x, np.float64), 16)
-            out.append(ids[: max(1, min(copies, int((d <= d[0] * near).sum())))].tolist())
-        return pd.Series(out)
-
-    @F.pandas_udf("array<int>")
-    def probe(vectors: pd.Series) -> pd.Series:
-        out = []
-        for x in vectors:
-            ids, d = held.value.search(np.asarray(x, np.float64), most)
-            out.append(ids[: max(least, int((d <= d[0] * prune).sum()))].tolist())
-        return pd.Series(out)
-
-    posted = written(rows.select("vec_id", "embedding", F.explode(home("embedding")).alias("list")))
-    sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / F.lit(list_rows)).cast("int").alias("slots"))
-    sizes = F.broadcast(written(sizes))  # at most 2,048 rows, one per centroid
-    left = posted.join(sizes, "list").withColumn("slot", F.expr("cast(pmod(xxhash64(vec_id), slots) as int)")).drop("slots")
-    asked = queries.select("vec_id", "embedding", F.explode(probe("embedding")).alias("list"))
-    asked = asked.join(sizes.select("list", F.col("slots").alias("parts")), "list")
-    asked = asked.withColumn("slot", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
-
-    def meet(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        x, ids, out = np.array(a["embedding"].tolist(), np.float64), a["vec_id"].to_numpy(), []
-        for query, v in zip(q["vec_id"], q["embedding"]):
-            d = np.sqrt(((x - np.asarray(v, np.float64)) ** 2).sum(axis=1))
-            at = np.lexsort((ids, d))
-            at = at[ids[at] != query][:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "score": d[at]}))
-        return pd.concat(out)
-
-    pairs = left.groupBy("list", "slot").cogroup(asked.groupBy("list", "slot"))
-    found = pairs.applyInPandas(meet, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    def chosen(ratio: float, at_least: int):
+        @F.pandas_udf("array<int>")
+        def of(vectors: pd.Series) -> pd.Series:
+            return pd.Series([held.value.search(np.asarray(x, np.float64), ratio, at_least) for x in vectors])
+
+        return of("embedding")
+
+    posted = written(rows.select("vec_id", "embedding", F.explode(chosen(near, 1)).alias("list")))
+    sizes = written(posted.groupBy("list").agg(F.ceil(F.count("*") / F.lit(list_rows)).cast("int").alias("slots")))
+    probed = F.explode(chosen(prune, max(1, int(least * lists))))
+    asked = written(queries.select("vec_id", "embedding", probed.alias("list")))
+    found = written(_read(posted, sizes, asked, k, list_rows))
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+    short = written(queries.join(full, queries.vec_id == full.query_id, "left_anti"))
+    if not short.isEmpty():
+        rest = short.withColumn("list", F.explode(F.expr(f"sequence(0, {lists - 1})")))
+        found = found.join(short, found.query_id == short.vec_id, "left_anti").union(_read(posted, sizes, rest, k, list_rows))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"

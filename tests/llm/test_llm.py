@@ -239,6 +239,16 @@ def test_neighbours_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = rows_of(ann.neighbours(df, df.filter("vec_id = 0")), "query_id", "rank", "vec_id", "score")
     assert got == [(0, 1, 1, 0.0), (0, 2, 7, 1.0)]
+    # Lists of another cluster hold the rest: a query short of k reads them all; crowds of queries go in turns.
+    far = [(i, [float(i % 2) * 100 + 1, float(i)]) for i in range(40)]
+    far = spark.createDataFrame(far, "vec_id long, embedding array<double>")
+    got = ann.neighbours(far, far, k=30, rows_per_list=5, prune=1.0, least=0.0, list_rows=7).toPandas()
+    assert (got.groupby("query_id").size() == 30).all() and got.query_id.nunique() == 40
+    x = np.array([r["embedding"] for r in far.orderBy("vec_id").collect()])
+    for q, rows in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(40), d)) if i != q][:30]
+        assert rows.sort_values("rank").vec_id.tolist() == order
     assert ann.neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
