@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -292,6 +293,38 @@ def test_html():
     assert html.extract(None) == "" and html.extract("plain &lt; text") == "plain < text"
 
 
+def test_html_template_decides(spark):
+    """Furniture without a telling name goes by the template alone; what copies of a page share stays."""
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(1 << 20, size=n))
+    menus = [f"<ul><li>{say(2)}</li><li>{say(2)}</li></ul>" for _ in range(3)]
+    rows, want, copied = [], {}, [say(9), say(12)]
+    for i in range(40):
+        paras = copied if i < 15 else [say(9) for _ in range(1 + i % 3)]
+        body = "".join(f"<p>{p}</p>" for p in paras)
+        html_ = f"<html><body><div class='k1'>{menus[i % 3]}</div><div id=wrap-zq7>Today only: half price &amp; more</div><div class=t>{body}<i>{i}</i></div></body></html>"
+        rows.append((i, f"https://a.org/{i}", html_, 0))
+        want[i] = "\n".join([*paras, str(i)])
+    rows += [(100, "https://b.org/", rows[0][2], 0), (None, None, None, 0), (101, "x", "", 0), (5, "https://a.org/5", rows[5][2], 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host long")
+    got = html.main_text(pages).toPandas()
+    assert len(got) == len(rows)
+    mine = got[(got.page_id < 100)].set_index("page_id").text
+    assert all(mine.loc[[i]].tolist() == [want[i]] * (1 + (i == 5)) for i in want)
+    assert "Today only: half price & more" in got[got.page_id == 100].text.item()  # one page proves nothing
+    assert set(got[got.page_id.isna() | (got.page_id == 101)].text) == {""}
+    assert html.extract(rows[0][2]) != want[0]  # without the template
+    assert html.main_text(pages.limit(0)).count() == 0
+
+
+def test_html_is_linear():
+    began = time.time()
+    for bad in ("<div>", "<a ", "<a \"", "<a '>\"", "</p><p>", "<p><b>", "<script>", "<!--", "<![CDATA[", "&#x", "<a href=\"x\" ", "<"):
+        html.extract(bad * (1_000_000 // len(bad)))
+    assert time.time() - began < 60
+    assert html.extract("a < b <em>c</em> <3 <p title='>'>d<fo") == "a < b c <3\nd"
+
+
 def test_html_query(spark):
     pages = pd.read_parquet(f"{SF}/pages.parquet")
     got = html.op8_html(spark, SF).toPandas()
