@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # ASCII white space of the word rule, and the ASCII letters.
 SPACE = "\x20\x09-\x0d"
@@ -20,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where the setting is unset (tests)."""
+    """The shared folder of the cluster; one of our own only where none is set and Spark runs in this process (tests)."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if held is None:
         jsc = spark.sparkContext._jsc.sc()
         now = jsc.getCheckpointDir()
         if now.isDefined():
             return now.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         held = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(held)
     return held
@@ -40,6 +43,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smallest(df: DataFrame, by: str, key: str, n: int, salts: int = 64) -> DataFrame:
+    """The ``n`` rows of each ``by`` with the smallest ``key``; first per salt, so that no group meets whole in a task."""
+    salt = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(salts))
+    few = df.withColumn("_salt", salt)
+    for part in ([by, "_salt"], [by]):
+        place = F.row_number().over(Window.partitionBy(*part).orderBy(key))
+        few = few.withColumn("_place", place).filter(F.col("_place") <= n)
+    return few.drop("_salt", "_place")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -1,174 +1,208 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask over ``SPAN`` consecutive words; the words under its zeros are ignored, so a passage with some
-words replaced still hits. Benchmark windows are hashed under every mask and sorted; each training document hashes
-its own windows and joins them with those of a block of the benchmark. A hit fixes a diagonal (document position less
-item position); the item is then compared word by word along it, and the overlap counts if some run of ``window``
-aligned words (all words of a shorter item) agrees in at least ``share`` of its places. The benchmark is a stated
-query set: it is read in blocks of at most ``block_words`` words, each broadcast on its own, and all documents meet
-all blocks. No document text is shuffled.
-
-Words are runs of letters and digits, lower case. Null and empty texts have no words and are clean. Items under
-``least`` words are too short to prove anything and match nothing; items shorter than a mask are compared where their
-first ``least`` words stand exactly. Repeated rows are judged alike. Extra columns stay as they are.
+words replaced still hits. Benchmark windows are hashed under every mask to a table of (seed, item, place), which Spark
+partitions as it likes. Each text is hashed under the same masks, and hashes that stand in the table are joined with
+it. What keeps the join small is a Bloom filter of the table's seeds, ``filter_bits`` bits whatever the benchmark's
+size, made from partial filters and broadcast: only hashes that pass it leave the scan. A false pass is met by no row
+of the join; a benchmark too large for the filter makes the join larger, never the result another.
+
+A hit fixes a diagonal (text position less item position); the item is then compared word by word along it, and the
+overlap counts if some run of ``window`` aligned words (all words of a shorter item) agrees in at least ``share`` of
+its places. Items of fewer than ``least`` words count only whole and word for word: their seed is the item itself.
+
+Words are runs of letters and digits, lower case. Null and empty texts have no words and are clean; items without
+words, text or id match nothing. Equal texts are searched apart and judged alike; items with one id count as one.
+A null doc_id is an id like any other. Extra columns stay as they are. An empty benchmark leaves all clean, an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import only, table, written
 
 SPAN = 10
 MASKS = ("1111111111", "1101101101", "1011010111", "1110100111", "1001111011")
 WORDS = re.compile(r"[^\W_]+")
+CHUNK = 16  # bits of a position within its piece of the filter
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(32)], np.uint64)
-SCHEMA = "items array<long>, best double"
+FOUND = "text_key string, items array<long>, best double"
 
 
-def _ids(text: str | None, cache: dict[str, int]) -> np.ndarray:
-    out = []
-    for w in WORDS.findall((text or "").lower()):
-        h = cache.get(w)
-        if h is None:
-            if len(cache) > 1_000_000:
-                cache.clear()
-            h = cache[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+class _Ids(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got
 
 
-def _masked(ids: np.ndarray, mask: str, seed: int) -> np.ndarray:
+def _ids(text: str | None, cache: _Ids) -> np.ndarray:
+    return np.array(list(map(cache.__getitem__, WORDS.findall((text or "").lower()))), np.uint64)
+
+
+def _masked(ids: np.ndarray, mask: str) -> np.ndarray:
     n = len(ids) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.full(n, seed, np.uint64)
+    h = np.full(n, int(mask, 2) << 8 | len(mask), np.uint64)
     for i, bit in enumerate(mask):
         if bit == "1":
             h += ids[i : i + n] * _ODD[i]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
-class Seeds:
-    """Sorted spaced-seed hashes of one block of items."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int, share: float, least: int):
-        self.window, self.share, self.least = window, share, least
-        self.items, hashes, which, where, cache = [], [], [], [], {}
-        for item, text in items:
-            ids = _ids(text, cache)
-            if len(ids) < least:
-                continue
-            for seed, mask in enumerate(self.masks()):
-                h = _masked(ids, mask, seed)
-                hashes.append(h)
-                which.append(np.full(len(h), len(self.items)))
-                where.append(np.arange(len(h)))
-            self.items.append((item, ids))
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes = self.hashes[order]
-        self.which = (np.concatenate(which) if which else np.empty(0, int))[order]
-        self.where = (np.concatenate(where) if where else np.empty(0, int))[order]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def masks(self) -> tuple[str, ...]:
-        return (*MASKS, "1" * self.least)
-
-    def overlap(self, ids: np.ndarray, item: np.ndarray, shift: int) -> float:
-        low, high = max(0, -shift), min(len(item), len(ids) - shift)
-        need = min(self.window, len(item))
-        if high - low < need:
-            return 0.0
-        same = np.r_[0, np.cumsum(ids[low + shift : high + shift] == item[low:high])]
-        return float((same[need:] - same[:-need]).max() / need)
-
-    def search(self, ids: np.ndarray) -> tuple[list[int], float]:
-        tried, found = set(), {}
-        for seed, mask in enumerate(self.masks()):
-            h = _masked(ids, mask, seed)
-            at = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
-            low = np.searchsorted(self.hashes, h[at], "left")
-            high = np.searchsorted(self.hashes, h[at], "right")
-            for place, a, b in zip(at[high > low], low[high > low], high[high > low]):
-                for k in range(a, b):
-                    key = (int(self.which[k]), int(place) - int(self.where[k]))
-                    if key not in tried:
-                        tried.add(key)
-                        item, words = self.items[key[0]]
-                        score = self.overlap(ids, words, key[1])
-                        if score >= self.share:
-                            found[item] = max(score, found.get(item, 0.0))
-        return sorted(found), max(found.values(), default=0.0)
-
-
-def _blocks(bench: DataFrame, block_words: int):
-    """Lists of (item_id, text), each of bounded length, streamed to the driver one at a time."""
-    block, held = [], 0
-    for item, text in bench.toLocalIterator():
-        if item is None or not text:
-            continue
-        block.append((item, text))
-        held += text.count(" ") + 1
-        if held >= block_words:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
-_SEEDS: dict[str, Seeds] = {}
-
-
-def _searcher(held, key: str):
-    @F.pandas_udf(SCHEMA)
-    def search(texts: pd.Series) -> pd.DataFrame:
-        if key not in _SEEDS:  # once per worker, not per task
-            _SEEDS.clear()
-            _SEEDS[key] = Seeds(*held.value)
-        seeds, cache = _SEEDS[key], {}
-        return pd.DataFrame([seeds.search(_ids(t, cache)) for t in texts], columns=["items", "best"])
-
-    return search
+def _seeds(least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _Ids()
+        for batch in batches:
+            out = []
+            for item, text in zip(batch["item"], batch["text"]):
+                ids = _ids(text, cache)
+                masks = (*MASKS, "1" * least) if len(ids) >= least else ("1" * len(ids),)
+                for mask in masks if len(ids) else ():
+                    h = _masked(ids, mask).view(np.int64)
+                    out.append(pd.DataFrame({"seed": h, "item": item, "place": np.arange(len(h), dtype=np.int32), "wide": len(ids)}))
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
+def _positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [((h >> np.uint64(s)) & np.uint64((1 << bits) - 1)).astype(np.int64) for s in (0, 18, 64 - bits)]
+
+
+def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
+    """The Bloom filter of the seeds: 2 ** bits bits, joined from pieces that each partition fills."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at in _positions(batch["seed"].to_numpy().view(np.uint64), bits):
+                for piece in np.unique(at >> CHUNK):
+                    own = held.setdefault(int(piece), np.zeros(1 << CHUNK, bool))
+                    own[at[at >> CHUNK == piece] & ((1 << CHUNK) - 1)] = True
+        if held:
+            yield pd.DataFrame({"piece": list(held), "bits": [np.packbits(b).tobytes() for b in held.values()]})
+
+    def both(rows: pd.DataFrame) -> pd.DataFrame:
+        joined = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]])
+        return pd.DataFrame({"piece": rows["piece"][:1], "bits": [joined.tobytes()]})
+
+    pieces = seeds.select("seed").mapInPandas(part, "piece int, bits binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in pieces.groupBy("piece").applyInPandas(both, "piece int, bits binary").collect():
+        size = (1 << CHUNK) // 8
+        out[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _scan(held, masks: tuple[str, ...], bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, table_ = _Ids(), held.value
+        for batch in batches:
+            out = []
+            for key, text in zip(batch["text_key"], batch["text"]):
+                ids, seeds, places = _ids(text, cache), [], []
+                for mask in masks:
+                    h = _masked(ids, mask)
+                    at = np.arange(len(h))
+                    for shift in range(3):
+                        if not len(at):
+                            break
+                        where = _positions(h[at], bits)[shift]
+                        at = at[(table_[where >> 3] >> (7 - (where & 7)).astype(np.uint8) & 1).astype(bool)]
+                    seeds.append(h[at].view(np.int64))
+                    places.append(at)
+                if sum(map(len, seeds)):
+                    out.append((key, text, np.concatenate(seeds), np.concatenate(places).astype(np.int32)))
+            yield pd.DataFrame(out, columns=["text_key", "text", "seeds", "places"])
+
+    return run
+
+
+def overlap(ids: np.ndarray, item: np.ndarray, shift: int, window: int, least: int) -> float:
+    """The best share of agreeing words in a run of ``window`` along a diagonal; whole and exact for a short item."""
+    low, high = max(0, -shift), min(len(item), len(ids) - shift)
+    need = min(window, len(item))
+    if high - low < need or not need:
+        return 0.0
+    same = np.r_[0, np.cumsum(ids[low + shift : high + shift] == item[low:high])]
+    best = float((same[need:] - same[:-need]).max() / need)
+    return best if len(item) >= least or best == 1.0 else 0.0
+
+
+def _verified(window: int, share: float, least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, out = _Ids(), []
+        for batch in batches:
+            for key, text, asked in zip(batch["text_key"], batch["text"], batch["asked"]):
+                ids, found = _ids(text, cache), {}
+                for a in asked:
+                    item = _ids(a["words"], cache)
+                    best = max(overlap(ids, item, int(s), window, least) for s in a["shifts"])
+                    if best >= share:
+                        found[int(a["item_id"])] = max(best, found.get(int(a["item_id"]), 0.0))
+                if found:
+                    out.append((key, sorted(found), max(found.values())))
+            yield pd.DataFrame(out, columns=["text_key", "items", "best"])
+            out = []
+
+    return run
 
 
 def overlaps(
-    spark: SparkSession, text: Column, bench: DataFrame, window: int = 13, share: float = 0.8, least: int = 8,
-    block_words: int = 500_000,
-) -> tuple[Column, Column]:
-    """Columns: sorted array of the item_ids found in ``text``, and the best share of agreeing words."""
-    found = []
-    for block in _blocks(only(bench, "item_id", "text"), block_words):
-        held = spark.sparkContext.broadcast((block, window, share, least))
-        found.append(_searcher(held, uuid.uuid4().hex)(text))
-    if not found:
-        return F.expr("cast(array() as array<long>)"), F.lit(0.0)
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[f["items"] for f in found]))))
-    return items, F.greatest(*[f["best"] for f in found], F.lit(0.0))
+    docs: DataFrame, bench: DataFrame, window: int = 13, share: float = 0.8, least: int = 8, filter_bits: int = 26
+) -> DataFrame:
+    """text_key (md5 of the text), items (sorted item_ids found), best (share of agreeing words) of texts that hold any."""
+    spark = docs.sparkSession
+    items = only(bench, "item_id", "text").filter("item_id is not null and text is not null")
+    items = items.withColumn("item", F.xxhash64("item_id", "text")).dropDuplicates(["item"])
+    seeds = written(items.mapInPandas(_seeds(least), "seed long, item long, place int, wide int"))
+    short = [r["wide"] for r in seeds.filter(F.col("wide") < least).select("wide").distinct().collect()]  # under ``least`` values
+    masks = (*MASKS, "1" * least, *("1" * n for n in sorted(short)))
+    held = spark.sparkContext.broadcast(_filter(seeds, filter_bits))
+    texts = only(docs, "text").filter("text is not null").select(F.md5("text").alias("text_key"), "text")
+    schema = "text_key string, text string, seeds array<long>, places array<int>"
+    passed = written(texts.mapInPandas(_scan(held, masks, filter_bits), schema))
+    held.unpersist()
+    hits = passed.select("text_key", F.explode(F.arrays_zip("seeds", "places")).alias("h"))
+    hits = hits.select("text_key", F.col("h.seeds").alias("seed"), F.col("h.places").alias("at")).join(seeds, "seed")
+    hits = hits.groupBy("text_key", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
+    asked = hits.join(items.withColumnRenamed("text", "words"), "item").groupBy("text_key").agg(
+        F.collect_list(F.struct("item_id", "words", "shifts")).alias("asked")
+    )
+    found = passed.select("text_key", "text").dropDuplicates(["text_key"]).join(asked, "text_key")
+    return written(found.mapInPandas(_verified(window, share, least), FOUND))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, contaminated, n_items, items (ids, comma-joined), best_share."""
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
-    items, best = overlaps(spark, F.col("text"), table(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id", items.alias("i"), best.alias("best_share")).select(
+    found = overlaps(docs, table(spark, sf_dir, "benchmark"))
+    rows = docs.select("doc_id", F.md5("text").alias("text_key")).join(found, "text_key", "left")
+    items = F.coalesce("items", F.expr("cast(array() as array<long>)"))
+    return rows.select(
         "doc_id",
-        (F.size("i") > 0).alias("contaminated"),
-        F.size("i").cast("long").alias("n_items"),
-        F.array_join(F.col("i").cast("array<string>"), ",").alias("items"),
-        "best_share",
+        F.col("items").isNotNull().alias("contaminated"),
+        F.size(items).cast("long").alias("n_items"),
+        F.array_join(items.cast("array<string>"), ",").alias("items"),
+        F.coalesce("best", F.lit(0.0)).alias("best_share"),
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that hold no benchmark passage."""
-    items, _ = overlaps(spark, F.col("text"), table(spark, sf_dir, "benchmark"))
-    return docs.filter(F.size(items) == 0)
+    """Keep the documents that hold no benchmark passage; null and empty texts stay."""
+    bad = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("text_key").alias("_bad"))
+    return docs.join(bad, F.md5(F.col("text")) == F.col("_bad"), "left_anti")

@@ -4,27 +4,26 @@ Filters of widths 2, 3 and 4 over byte embeddings, max pooling over a fixed-leng
 trained in numpy by Adam. A text is cut into windows of ``window`` bytes (the last one padded with zeros), batches of
 windows go through the network, and the mean log-probability over all windows of the whole text decides.
 
-Training reads only text and non-null lang of the rows given to ``fit``: up to ``per_lang`` rows of each language, the
-smallest by a hash of the row, and of each up to ``cuts`` stretches spread over the text. That bound is a parameter.
+Training reads only text and non-null lang of the rows given to ``fit``: up to ``per_lang`` different texts of each
+language, the smallest by a hash of the text, and of each up to ``cuts`` stretches spread over the text. That bound is
+a parameter. Copies of a text count once, so no copied text is a language's whole sample.
 
 Null text, or text without letters: `und`, score 0. Ties go to the smaller language code. No labelled rows: every text
-is `und`. Repeated rows are scored alike; extra columns are ignored.
+is `und`. Repeated rows are scored alike; a null doc_id is never held out and trains nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import only, table
+from .common import only, smallest, table, written
 
 WIDTHS = (2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 class Net:
@@ -126,8 +125,9 @@ def fit(labelled: DataFrame, window: int = 256, per_lang: int = 600, cuts: int =
     span = F.greatest(F.length("text") - window, F.lit(1))
     at = lambda i: F.pmod(F.xxhash64(F.lit(i), key), span).cast("int") + 1
     rows = rows.select("lang", key.alias("key"), F.array(*[F.substring("text", at(i), F.lit(window)) for i in range(cuts)]).alias("cuts"))
-    first = Window.partitionBy("lang").orderBy("key")
-    got = rows.withColumn("row", F.row_number().over(first)).filter(F.col("row") <= per_lang).toPandas()
+    # Keys first: only the chosen texts' stretches travel.
+    keys = written(smallest(rows.select("lang", "key").distinct(), "lang", "key", per_lang))
+    got = rows.join(keys, ["lang", "key"]).groupBy("lang", "key").agg(F.first("cuts").alias("cuts")).toPandas()
     langs = sorted(got["lang"].unique())
     net, xs, ys = Net(langs, window), [], []
     for _, r in got.sort_values(["lang", "key"]).iterrows():
@@ -154,7 +154,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     net = fit(docs.filter(fold != 1))
     p = predicted(net, spark, F.col("text"))
-    return docs.select("doc_id", (fold == 1).alias("held_out"), p.alias("p")).select("doc_id", "held_out", "p.*")
+    return docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), p.alias("p")).select("doc_id", "held_out", "p.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.4) -> DataFrame:

@@ -4,9 +4,11 @@ A sentence has a logit: a bias plus the weights of its words and of their four-l
 The document's score is the noisy-or of its sentences, 1 - prod(1 - p). Only document labels are used; the gradient
 of the noisy-or shares the blame among sentences, and `sentences` then returns those that offend.
 
-Training reads a bounded sample, at most ``per_class`` labelled rows of each class (smallest hash first). Null and
-empty texts have one empty sentence: the bias. Rows without label, or without doc_id, train nothing. A doc_id labelled
+Training reads a bounded sample, at most ``per_class`` labelled ids of each class (smallest hash first), and of those
+the texts of up to ``most_chars`` code points; scoring reads every text whole. Null and empty texts have one empty
+sentence: the bias. Rows without label, or without doc_id, train nothing. A doc_id labelled
 twice trains with its larger label. No labelled rows: all scores are that of the starting bias.
+Repeated rows are scored alike; a null doc_id is never held out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +21,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import only, table
+from .common import only, smallest, table, written
 
 SLOTS = 1 << 18
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -96,13 +97,14 @@ class Model:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: int = 20_000) -> Model:
     """Train on documents joined to labels(doc_id, toxic); the join carries ids and labels first, texts last."""
     marks = only(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    marks = marks.withColumn("row", F.row_number().over(first)).filter(F.col("row") <= per_class)
-    got = only(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", "text", "toxic").toPandas()
+    marks = written(smallest(marks.withColumn("key", F.xxhash64("doc_id")), "toxic", "key", per_class))
+    texts = only(docs, "doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= most_chars)
+    # At most ``per_class`` rows of each class.
+    got = texts.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "toxic").toPandas()
     got = got.sort_values(["doc_id", "text"]).drop_duplicates()
     return Model().fit([t or "" for t in got["text"]], [int(x) for x in got["toxic"]]) if len(got) else Model()
 
@@ -128,7 +130,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     model = fit(docs, labels.filter(fold != 0))
     s = scored(model, spark, F.col("text"))
-    rows = docs.select("doc_id", (fold == 0).alias("held_out"), s.alias("s"))
+    rows = docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), s.alias("s"))
     return rows.select(
         "doc_id", "held_out", "s.score", (F.col("s.score") >= 0.5).cast("int").alias("predicted"),
         F.size("s.spans").cast("long").alias("n_offending"),

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from folioscope.llm.common import smallest
 from folioscope.llm import ann, bpe, decontam, html, langid, licences, neardup, pii, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -163,19 +164,60 @@ def test_vantage_tree_finds_all():
 
 
 def test_decontamination(spark, odd):
-    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma".split()
-    bench = spark.createDataFrame([(1, " ".join(words)), (2, None), (None, "x"), (3, "too short")], "item_id long, text string")
-    changed = [*words]
-    changed[5] = changed[11] = "other"
-    texts = [(1, "start " + " ".join(words) + " end"), (2, " ".join(changed)), (3, " ".join(words[:6])), (4, None)]
-    from pyspark.sql import functions as F
+    """Against a plain reading of the rule: all diagonals of all pairs, kept where some mask agrees."""
+    rng, letters = np.random.default_rng(6), [f"v{i}" for i in range(60)]
+    items = {i: [str(x) for x in rng.choice(letters, n)] for i, n in enumerate((40, 25, 13, 10, 9, 8, 5, 3, 1))}
+    items[8] = ["lone"]
+    texts = []
+    for k in range(160):
+        item, noise = items[k % 9], lambda: [str(x) for x in rng.choice(letters, int(rng.integers(0, 30)))]
+        at = int(rng.integers(0, max(1, len(item) - 14)))
+        part = item[at : at + 20] if k % 3 else list(item)
+        for at in rng.choice(len(part), k % 4 if len(part) > 8 else k % 2, replace=False):
+            part[at] = "else"
+        texts.append(" ".join([*noise(), *part, *noise()]))
+    texts += ["", None, "Lone", "a lone word, here", " ".join(items[7][:2]), " ".join(items[0]) * 2]
+
+    def want(text):
+        w, found = re.findall(r"[^\W_]+", (text or "").lower()), []
+        for i, item in items.items():
+            masks = (*decontam.MASKS, "1" * 8) if len(item) >= 8 else ("1" * len(item),)
+            for shift in range(-len(item), len(w)):
+                same = [0 <= k + shift < len(w) and w[k + shift] == x for k, x in enumerate(item)]
+                inside = [0 <= k + shift < len(w) for k in range(len(item))]
+                hit = any(
+                    all(inside[k : k + len(m)]) and all(s or b == "0" for s, b in zip(same[k:], m))
+                    for m in masks for k in range(len(item) - len(m) + 1)
+                )
+                need = min(13, len(item))
+                runs = [sum(same[k : k + need]) / need for k in range(len(item) - need + 1) if all(inside[k : k + need])]
+                if hit and runs and max(runs) >= (0.8 if len(item) >= 8 else 1.0):
+                    found.append(i)
+                    break
+        return found
+
+    import hashlib as h
+
+    bench = [(i, " ".join(t)) for i, t in items.items()] + [(99, None), (None, "v1 v2"), (98, " . "), (7, " ".join(items[7]))]
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, item_id long")
+    got = {r["text_key"]: r["items"] for r in decontam.overlaps(docs, bench).collect()}
+    assert 60 < len(got) < len(texts)
+    for bits in (26, 17):  # a filter far too small changes no result
+        if bits != 26:
+            got = {r["text_key"]: r["items"] for r in decontam.overlaps(docs, bench, filter_bits=bits).collect()}
+        assert all(got.get(h.md5(t.encode()).hexdigest(), []) == want(t) for t in texts if t is not None)
+    assert decontam.overlaps(odd, bench).filter("size(items) > 0").select("text_key").distinct().count() <= 1
+    assert decontam.overlaps(docs, bench.limit(0)).count() == 0 and decontam.overlaps(docs.limit(0), bench).count() == 0
+
 
-    for block in (1, 500):
-        items, best = decontam.overlaps(spark, F.col("text"), bench, block_words=block)
-        got = spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", items.alias("i"), best.alias("b"))
-        assert rows_of(got, "doc_id", "i") == [(1, [1]), (2, [1]), (3, []), (4, [])]
-    items, best = decontam.overlaps(spark, F.col("text"), bench)
-    assert {tuple(r["i"]) for r in odd.select(items.alias("i")).collect()} == {()}
+def test_decontamination_stage(spark, odd, monkeypatch):
+    bench = spark.createDataFrame([(1, "no id here at all or anywhere else in the table"), (2, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    monkeypatch.setattr(decontam, "table", lambda *_: bench)
+    kept = decontam.stage(spark, odd, "")
+    assert kept.columns == odd.columns
+    ids = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.collect())
+    assert ids(kept) == ids(odd.filter("doc_id is null or doc_id not in (4, 5)"))
 
 
 def test_bpe_is_the_library(spark, docs, odd):
@@ -263,6 +305,11 @@ def test_language(spark, docs, odd):
     p = odd.select("doc_id", langid.predicted(net, spark, F.col("text")).alias("p")).select("doc_id", "p.*")
     assert {r["lang_pred"] for r in p.filter("doc_id in (1, 2, 6, 10)").collect()} == {"und"}
     assert langid.fit(odd.limit(0)).predict("abc") == ("und", 0.0)
+    assert net.predict("\u00bd \u00b2 12 _")[0] == "und"
+    # A text copied many times is one text of the sample.
+    copies = spark.createDataFrame([("same words here", "aa")] * 50 + [(f"other {i}", "aa") for i in range(30)] + [("der die das", "bb")], "text string, lang string")
+    key = [r["key"] for r in smallest(copies.select("lang", F.xxhash64("text").alias("key")).distinct(), "lang", "key", 20).collect()]
+    assert len(key) == len(set(key)) == 21
 
 
 def test_toxicity_learns_from_document_labels():
