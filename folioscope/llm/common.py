@@ -43,7 +43,7 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def smallest(df: DataFrame, by: str, key: str, n: int, salts: int = 64) -> DataFrame:
+def smallest(df: DataFrame, by: str, key: str, n: int, salts: int = 8) -> DataFrame:
     """The ``n`` rows of each ``by`` with the smallest ``key``; first per salt, so that no group meets whole in a task."""
     salt = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(salts))
     few = df.withColumn("_salt", salt)
