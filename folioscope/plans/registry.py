@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from folioscope.operators import reference
+from folioscope.functions import scalars
+from folioscope.operators import aggregates, gates, joins, ordered, projections, reference, reports
+from folioscope.plans import catalog
+from folioscope.sources import corpus, markup
+from folioscope.streaming import delivery
 
-QUERIES = dict(reference.QUERIES)
-ORACLE = dict(reference.ORACLE)
+MODULES = (reference, scalars, markup, corpus, projections, gates, joins, aggregates, ordered, reports, delivery)
+QUERIES = dict(catalog.QUERIES)
+ORACLE = dict(catalog.ORACLE)
