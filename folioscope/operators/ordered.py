@@ -111,7 +111,7 @@ def f11_aliases(spark, sf_dir):
 
 
 @query("""SELECT item_id, coalesce(p, 0) AS position, substr(a, greatest(1, coalesce(p, 1) - 20), 40) AS context FROM (SELECT item_id, text AS a,
-list_min(list_filter(range(1, greatest(length(text), length(b)) + 1), i -> substr(text, i, 1) <> substr(b, i, 1))) AS p FROM
+list_min(list_filter(range(1, greatest(length(text), length(b)) + 1), lambda i: substr(text, i, 1) <> substr(b, i, 1))) AS p FROM
 (SELECT item_id, text, CASE WHEN item_id % 3 = 0 THEN text ELSE left(text, CAST(item_id % 30 AS INT)) || '#' || substr(text, CAST(item_id % 30 + 2 AS INT)) END AS b FROM benchmark))""")
 def f12_divergence(spark, sf_dir):
     """where two texts first differ (0: nowhere), and 40 characters around it."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,10 +50,14 @@ def g6_old_runs(spark, sf_dir):
 
 def formats(text: Column) -> Column:
     """H2: distinct formats in the order asked, other names resolved."""
-    one = F.transform(F.split(F.lower(text), "[ ,]+"), lambda x: F.trim(x))
-    for a, b in ALIASES.items():
-        one = F.transform(one, lambda x, a=a, b=b: F.when(x == a, b).otherwise(x))
-    return F.array_distinct(F.filter(one, lambda x: x != ""))
+
+    def resolved(x: Column) -> Column:
+        out = x
+        for a, b in ALIASES.items():
+            out = F.when(x == a, b).otherwise(out)
+        return out
+
+    return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), "[ ,]+"), lambda x: x != ""), resolved))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'pptx,docx' WHEN 1 THEN 'docx,pdf' WHEN 2 THEN 'pdf' ELSE 'svg,pptx' END AS formats FROM part""")
@@ -85,7 +89,7 @@ def compose(matrices: Column) -> Column:
     return F.aggregate(matrices, start, times)
 
 
-@query("""WITH RECURSIVE m AS (SELECT l_orderkey, list(CAST(l_quantity % 3 + 1 AS DOUBLE) ORDER BY l_linenumber, l_partkey) AS s, list(CAST(l_partkey % 7 AS DOUBLE) ORDER BY l_linenumber, l_partkey) AS t FROM lineitem GROUP BY l_orderkey),
+@query("""WITH RECURSIVE m AS (SELECT l_orderkey, list(CAST(l_quantity % 3 + 1 AS DOUBLE) ORDER BY l_linenumber, l_partkey, l_quantity % 3) AS s, list(CAST(l_partkey % 7 AS DOUBLE) ORDER BY l_linenumber, l_partkey, l_quantity % 3) AS t FROM lineitem GROUP BY l_orderkey),
 r AS (SELECT l_orderkey, s, t, 0 AS i, CAST(1 AS DOUBLE) AS k, CAST(0 AS DOUBLE) AS e FROM m UNION ALL SELECT l_orderkey, s, t, i + 1, k * s[i + 1], k * t[i + 1] + e FROM r WHERE i < len(s))
 SELECT l_orderkey, k AS scale, e AS shift, k * 10 + e AS x FROM r WHERE i = len(s)""")
 def r1_affine(spark, sf_dir):
