@@ -35,6 +35,7 @@ MASKS = ("1111111111", "1101101101", "1011010111", "1110100111", "1001111011")
 WORDS = re.compile(r"[^\W_]+")
 CHUNK = 16  # bits of a position within its piece of the filter
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(32)], np.uint64)
+_BIT = (128 >> np.arange(8)).astype(np.uint8)
 FOUND = "text_key string, items array<long>, best double"
 
 
@@ -50,16 +51,22 @@ def _ids(text: str | None, cache: _Ids) -> np.ndarray:
     return np.array(list(map(cache.__getitem__, WORDS.findall((text or "").lower()))), np.uint64)
 
 
-def _masked(ids: np.ndarray, mask: str) -> np.ndarray:
-    n = len(ids) - len(mask) + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.full(n, int(mask, 2) << 8 | len(mask), np.uint64)
-    for i, bit in enumerate(mask):
-        if bit == "1":
-            h += ids[i : i + n] * _ODD[i]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+def _masked_all(ids: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
+    """Hashes of all windows under each mask. The words' products are shared by the masks."""
+    wide = min(max(map(len, masks), default=0), len(ids))
+    times, out = [ids * _ODD[i] for i in range(wide)], []
+    for mask in masks:
+        n = len(ids) - len(mask) + 1
+        if n <= 0:
+            out.append(np.empty(0, np.uint64))
+            continue
+        h = np.full(n, int(mask, 2) << 8 | len(mask), np.uint64)
+        for i, bit in enumerate(mask):
+            if bit == "1":
+                h += times[i][i : i + n]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(h ^ (h >> np.uint64(29)))
+    return out
 
 
 def _seeds(least: int):
@@ -70,8 +77,8 @@ def _seeds(least: int):
             for item, text in zip(batch["item"], batch["text"]):
                 ids = _ids(text, cache)
                 masks = (*MASKS, "1" * least) if len(ids) >= least else ("1" * len(ids),)
-                for mask in masks if len(ids) else ():
-                    h = _masked(ids, mask).view(np.int64)
+                for h in _masked_all(ids, masks) if len(ids) else ():
+                    h = h.view(np.int64)
                     out.append(pd.DataFrame({"seed": h, "item": item, "place": np.arange(len(h), dtype=np.int32), "wide": len(ids)}))
             if out:
                 yield pd.concat(out)
@@ -79,8 +86,9 @@ def _seeds(least: int):
     return run
 
 
-def _positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [((h >> np.uint64(s)) & np.uint64((1 << bits) - 1)).astype(np.int64) for s in (0, 18, 64 - bits)]
+def _position(h: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    """The first, second or third bit of the filter that a seed sets."""
+    return ((h >> np.uint64((0, 18, 64 - bits)[turn])) & np.uint64((1 << bits) - 1)).view(np.int64)
 
 
 def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
@@ -89,7 +97,7 @@ def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in _positions(batch["seed"].to_numpy().view(np.uint64), bits):
+            for at in (_position(batch["seed"].to_numpy().view(np.uint64), bits, turn) for turn in range(3)):
                 for piece in np.unique(at >> CHUNK):
                     own = held.setdefault(int(piece), np.zeros(1 << CHUNK, bool))
                     own[at[at >> CHUNK == piece] & ((1 << CHUNK) - 1)] = True
@@ -115,14 +123,14 @@ def _scan(held, masks: tuple[str, ...], bits: int):
             out = []
             for key, text in zip(batch["text_key"], batch["text"]):
                 ids, seeds, places = _ids(text, cache), [], []
-                for mask in masks:
-                    h = _masked(ids, mask)
-                    at = np.arange(len(h))
-                    for shift in range(3):
+                for h in _masked_all(ids, masks):
+                    at = None
+                    for turn in range(3):
+                        where = _position(h if at is None else h[at], bits, turn)
+                        hit = np.flatnonzero(table_[where >> 3] & _BIT[where & 7])
+                        at = hit if at is None else at[hit]
                         if not len(at):
                             break
-                        where = _positions(h[at], bits)[shift]
-                        at = at[(table_[where >> 3] >> (7 - (where & 7)).astype(np.uint8) & 1).astype(bool)]
                     seeds.append(h[at].view(np.int64))
                     places.append(at)
                 if sum(map(len, seeds)):
