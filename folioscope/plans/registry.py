@@ -5,9 +5,9 @@ from __future__ import annotations
 from folioscope.functions import scalars
 from folioscope.operators import aggregates, gates, joins, ordered, projections, reference, reports
 from folioscope.plans import catalog
-from folioscope.sources import corpus, markup
+from folioscope.sources import corpus, markup, pictures
 from folioscope.streaming import delivery
 
-MODULES = (reference, scalars, markup, corpus, projections, gates, joins, aggregates, ordered, reports, delivery)
+MODULES = (reference, scalars, markup, corpus, pictures, projections, gates, joins, aggregates, ordered, reports, delivery)
 QUERIES = dict(catalog.QUERIES)
 ORACLE = dict(catalog.ORACLE)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import csv_cell
+from folioscope.operators.ordered import claim_names
 from folioscope.operators.reference import OUTCOME
-from folioscope.plans.catalog import query, table
+from folioscope.plans.catalog import query, table, written
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.[pP][uU][bB]") -> DataFrame:
@@ -24,6 +28,66 @@ def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
     head.union(rows.select(line.alias("value"))).coalesce(1).write.option("lineSep", "\r\n").text(path)
 
 
+def planned(files: DataFrame, existing: DataFrame, policy: Column) -> DataFrame:
+    """files(source, folder, stem, ext) against existing(folder, stem, ext) to source, folder, name, action, renamed.
+
+    A free name is taken as it is. Where the file exists, `rename` counts on, `skip` writes nothing and `overwrite`
+    takes the name; a name already claimed in the run always counts on. Sources are ids
+    that occur once, never null; the policy is one per folder.
+    """
+    at = F.struct("folder", "ext").alias("folder")
+    key = F.lower("stem").alias("key")
+    files = files.withColumn("policy", policy)
+    held = existing.select(at, key).distinct().withColumn("held", F.lit(True))
+    asked = files.select("source", at, "stem", key, "policy").join(held, ["folder", "key"], "left")
+    free = files.filter("policy <> 'rename'").select(at, key).distinct()
+    taken = existing.select(at, "stem", key).dropDuplicates(["folder", "key"]).join(free, ["folder", "key"], "left_anti")
+    kind = files.schema["source"].dataType
+    claims = claim_names(asked.select("source", "folder", "stem").unionByName(taken.select(F.lit(None).cast(kind).alias("source"), "folder", "stem")))
+    rows = asked.join(claims.filter("source is not null").select("source", "name"), "source")
+    renamed = F.col("name") != F.col("stem")
+    skip = F.coalesce("held", F.lit(False)) & (F.col("policy") == "skip") & ~renamed
+    name = F.concat("name", F.lit("."), "folder.ext").alias("name")
+    return rows.select("source", "folder.folder", name, F.when(skip, "skip").otherwise("write").alias("action"), renamed.alias("renamed"))
+
+
+def write_outputs(files: DataFrame, existing: DataFrame, policy: Column, root: str) -> DataFrame:
+    """Write files(source, folder, stem, ext, content) below the address ``root`` by their plan; gives the plan.
+
+    The plan is written first, so a task that runs again writes the same names. A file appears whole, by a rename.
+    """
+    plan = written(planned(files.drop("content"), existing, policy))
+
+    def put(rows) -> None:
+        store, base = pyarrow.fs.FileSystem.from_uri(root)
+        for r in rows:
+            folder = f"{base}/{r['folder']}"
+            store.create_dir(folder, recursive=True)
+            part = f"{folder}/.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part) as out:
+                out.write(bytes(r["content"] or b""))
+            store.move(part, f"{folder}/{r['name']}")
+
+    todo = plan.filter("action = 'write'").select("source", "folder", "name")
+    todo.join(files.select("source", "content"), "source").foreachPartition(put)
+    return plan
+
+
+_STEMS = "SELECT c_custkey AS source, c_nationkey AS folder, CASE WHEN c_custkey % 4 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS stem FROM customer"
+
+
+@query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(stem) ORDER BY source) AS k, folder % 2 = 0 AS held FROM ({_STEMS})),
+n AS (SELECT *, k + CASE WHEN held AND folder % 3 = 0 THEN 1 ELSE 0 END AS n FROM f)
+SELECT source, folder, CASE WHEN n = 1 THEN stem ELSE stem || ' (' || n || ')' END || '.docx' AS name, CASE WHEN held AND folder % 3 = 1 AND k = 1 THEN 'skip' ELSE 'write' END AS action, n > 1 AS renamed FROM n""")
+def a11_output_plan(spark, sf_dir):
+    """A11 on customers, with a policy per nation and files already there in every second one."""
+    stem = F.when(F.col("c_custkey") % 4 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), F.col("c_nationkey").alias("folder"), stem.alias("stem"), F.lit("docx").alias("ext"))
+    there = rows.filter("folder % 2 = 0").select("folder", F.lower("stem").alias("stem"), "ext").distinct()
+    policy = F.when(F.col("folder") % 3 == 0, "rename").when(F.col("folder") % 3 == 1, "skip").otherwise("overwrite")
+    return planned(rows, there, policy)
+
+
 def snapshot(signatures: DataFrame, path: str, run_id: str) -> None:
     """A run's signatures beside those of other runs."""
     signatures.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)

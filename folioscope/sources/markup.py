@@ -179,24 +179,30 @@ def c5_recommendation(spark, sf_dir):
     return rows.select("page_id", F.left("a", F.lit(4)).alias("format"), F.col("a").endswith("!").alias("confident"), (F.col("a") == "docx!").alias("suggested"))
 
 
-_NEST = f"""{TAGS}, n AS (SELECT *, CAST(sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS INT) AS depth
-FROM tags WHERE name IN ('nav', 'ul', 'li', 'article', 'footer'))"""
+_NEST = f"""{TAGS}, r AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER w AS d, sum(CASE WHEN name = 'ul' THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END) OVER w AS l
+FROM tags WHERE name IN ('nav', 'ul', 'li', 'article', 'footer') WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT *, CAST(d - least(0, min(d) OVER w) AS INT) AS depth, CAST(l - least(0, min(l) OVER w) AS INT) AS level FROM r WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
 
 
 @query(f"""WITH {_NEST} SELECT page_id, pos, name, depth, coalesce(max(CASE WHEN name = 'ul' THEN pos END) OVER (PARTITION BY page_id ORDER BY pos
-ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS list, CAST(sum(CASE WHEN name = 'ul' THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END)
-OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS INT) AS level FROM n QUALIFY NOT closing""")
+ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS list, level FROM n QUALIFY NOT closing""")
 def f3_nesting(spark, sf_dir):
     """depth of each container, the last list opened before it and the list level there."""
+    rows = _tags(spark, sf_dir).filter(F.col("name").isin("nav", "ul", "li", "article", "footer"))
+    return nested(rows).filter(~F.col("closing")).drop("closing")
+
+
+def nested(rows: DataFrame) -> DataFrame:
+    """Depth, last list and list level over tags; closing what is not open leaves the depth at zero."""
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("closing"), -1).otherwise(1)
-    rows = _tags(spark, sf_dir).filter(F.col("name").isin("nav", "ul", "li", "article", "footer"))
     rows = rows.select(
-        "page_id", "pos", "name", "closing", F.sum(step).over(w).cast("int").alias("depth"),
+        "page_id", "pos", "name", "closing", F.sum(step).over(w).alias("d"),
         F.coalesce(F.max(F.when(F.col("name") == "ul", F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)).alias("list"),
-        F.sum(F.when(F.col("name") == "ul", step).otherwise(0)).over(w).cast("int").alias("level"),
+        F.sum(F.when(F.col("name") == "ul", step).otherwise(0)).over(w).alias("l"),
     )
-    return rows.filter(~F.col("closing")).drop("closing")
+    above = lambda c: (F.col(c) - F.least(F.lit(0), F.min(c).over(w))).cast("int")
+    return rows.select("page_id", "pos", "name", "closing", above("d").alias("depth"), "list", above("l").alias("level"))
 
 
 _SIGN = f"""{TAGS}, sig AS (SELECT p.page_id, count(*) FILTER (WHERE name = 'p' AND NOT closing) AS p, count(*) FILTER (WHERE name = 'li' AND NOT closing) AS li,

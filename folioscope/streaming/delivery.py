@@ -7,6 +7,8 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from folioscope.plans.catalog import query, table
 
@@ -60,6 +62,78 @@ def silences(stream: DataFrame, budget: Column, delay: str = "1 hour") -> DataFr
     return stream.withWatermark("ts", delay).groupBy(F.session_window("ts", budget), "request_id").agg(F.count("*").alias("signs"))
 
 
+def deadlines(stream: DataFrame, delay: str = "1 hour", memory_s: int = 86400) -> DataFrame:
+    """J6 live, on a stream(request_id, ts, kind, budget_s): `answered` or `silent` per request, with the time.
+
+    Any row but an `answer` is a sign of life and restarts the clock of its own budget. What comes after a request is
+    settled is ignored; it is remembered as settled for ``memory_s``. A null budget counts as none: silent at once.
+    """
+
+    def settle(key, frames, state):
+        until, settled = state.get if state.exists else (0, False)
+        if state.hasTimedOut:
+            if settled:
+                state.remove()
+                return
+            done = ("silent", until)
+        else:
+            done, first = None, not state.exists
+            signs = pd.concat(list(frames)).sort_values("ts", kind="stable")
+            for ts, kind, budget in zip(signs["ts"], signs["kind"], signs["budget_s"].fillna(0)):
+                now = ts.value // 1_000_000
+                if settled or done:
+                    break
+                if not first and now > until:
+                    done = ("silent", until)
+                elif kind == "answer":
+                    done = ("answered", now)
+                else:
+                    until, first = now + int(budget * 1000), False
+        if done:
+            settled, until = True, done[1]
+        state.update((until, settled))
+        wake = until + 1 + (memory_s * 1000 if settled else 0)
+        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+        if done:
+            yield pd.DataFrame({"request_id": [key[0]], "outcome": [done[0]], "at_ms": [done[1]]})
+
+    kind = stream.schema["request_id"].dataType.simpleString()
+    rows = stream.select("request_id", "ts", "kind", F.col("budget_s").cast("double").alias("budget_s")).filter("request_id is not null and ts is not null")
+    return rows.withWatermark("ts", delay).groupBy("request_id").applyInPandasWithState(
+        settle, f"request_id {kind}, outcome string, at_ms long", "until long, settled boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def counted(results: DataFrame) -> DataFrame:
+    """results(outcome, attention) observed as `progress`: done, and each in one of attention, skipped, converted."""
+    odd, skipped = F.coalesce("attention", F.lit(False)), F.coalesce(F.col("outcome") == "skipped", F.lit(False))
+    return results.observe(
+        "progress", F.count("*").alias("done"), F.count_if(odd).alias("attention"),
+        F.count_if(~odd & skipped).alias("skipped"), F.count_if(~odd & ~skipped).alias("converted"),
+    )
+
+
+class Progress(StreamingQueryListener):
+    """Running totals of `counted` streams; ``beat`` gets them whenever another 25 are done."""
+
+    def __init__(self, beat, every: int = 25):
+        self.totals, self.beat, self.every = dict.fromkeys(("done", "attention", "skipped", "converted"), 0), beat, every
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get("progress")
+        if row is not None:
+            before = self.totals["done"] // self.every
+            self.totals = {k: n + (row[k] or 0) for k, n in self.totals.items()}
+            if self.totals["done"] // self.every > before:
+                self.beat(dict(self.totals))
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+
 _SENT = "event_id % 700 - 350"
 
 
