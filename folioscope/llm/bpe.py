@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -226,24 +227,27 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     return of(ids)
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row."""
+def tokenised(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> DataFrame:
+    """doc_id, ids (array<int>, unless ``keep_ids`` is off), n_tokens, ids_sha256, decoded_sha256 per row."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
+    own = ["ids"] * keep_ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string")
     def of(texts: pd.Series) -> pd.DataFrame:
         c, rows = codec(path), []
         for ids in c.encode(texts):
             back = c.decode(ids).encode()
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            held = [np.frombuffer(ids, "<i4")] if keep_ids else []
+            rows.append((*held, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+        return pd.DataFrame(rows, columns=own)
 
     return only(docs, "doc_id", "text").select("doc_id", of("text").alias("d")).select("doc_id", "d.*")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return tokenised(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digests(docs)
+    """The token ids of every document with their digests: what a training job reads."""
+    return tokenised(docs)

@@ -4,6 +4,7 @@ import hashlib
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,28 @@ def spans_of(text):
     return ",".join(x[2] for x in sorted(out))
 
 
+def leaks_of(text, items):
+    """Ids of the items found: every diagonal with words enough for a mask, kept where some mask agrees."""
+    w, found = re.findall(r"[^\W_]+", (text or "").lower()), []
+    for i, item in items.items():
+        masks = (*decontam.MASKS, "1" * 8) if len(item) >= 8 else ("1" * len(item),)
+        places = {x: [k for k, y in enumerate(item) if x == y] for x in item}
+        shifts = Counter(p - k for p, x in enumerate(w) for k in places.get(x, ()))
+        for shift in [x for x, n in shifts.items() if n >= min(6, len(item))]:  # no mask asks for fewer words
+            same = [0 <= k + shift < len(w) and w[k + shift] == x for k, x in enumerate(item)]
+            inside = [0 <= k + shift < len(w) for k in range(len(item))]
+            hit = any(
+                all(inside[k : k + len(m)]) and all(s or b == "0" for s, b in zip(same[k:], m))
+                for m in masks for k in range(len(item) - len(m) + 1)
+            )
+            need = min(13, len(item))
+            runs = [sum(same[k : k + need]) / need for k in range(len(item) - need + 1) if all(inside[k : k + need])]
+            if hit and runs and max(runs) >= (0.8 if len(item) >= 8 else 1.0):
+                found.append(i)
+                break
+    return found
+
+
 def test_simhash_is_brute_force(spark):
     got = simhash.op1_simhash(spark, SF).toPandas()
     f, ids = np.array([int(x, 16) for x in got.fingerprint], np.uint64), got.doc_id.to_numpy()
@@ -164,7 +187,7 @@ def test_vantage_tree_finds_all():
 
 
 def test_decontamination(spark, odd):
-    """Against a plain reading of the rule: all diagonals of all pairs, kept where some mask agrees."""
+    """Against a plain reading of the rule: every diagonal with words enough for a mask, kept where some mask agrees."""
     rng, letters = np.random.default_rng(6), [f"v{i}" for i in range(60)]
     items = {i: [str(x) for x in rng.choice(letters, n)] for i, n in enumerate((40, 25, 13, 10, 9, 8, 5, 3, 1))}
     items[8] = ["lone"]
@@ -178,24 +201,6 @@ def test_decontamination(spark, odd):
         texts.append(" ".join([*noise(), *part, *noise()]))
     texts += ["", None, "Lone", "a lone word, here", " ".join(items[7][:2]), " ".join(items[0]) * 2]
 
-    def want(text):
-        w, found = re.findall(r"[^\W_]+", (text or "").lower()), []
-        for i, item in items.items():
-            masks = (*decontam.MASKS, "1" * 8) if len(item) >= 8 else ("1" * len(item),)
-            for shift in range(-len(item), len(w)):
-                same = [0 <= k + shift < len(w) and w[k + shift] == x for k, x in enumerate(item)]
-                inside = [0 <= k + shift < len(w) for k in range(len(item))]
-                hit = any(
-                    all(inside[k : k + len(m)]) and all(s or b == "0" for s, b in zip(same[k:], m))
-                    for m in masks for k in range(len(item) - len(m) + 1)
-                )
-                need = min(13, len(item))
-                runs = [sum(same[k : k + need]) / need for k in range(len(item) - need + 1) if all(inside[k : k + need])]
-                if hit and runs and max(runs) >= (0.8 if len(item) >= 8 else 1.0):
-                    found.append(i)
-                    break
-        return found
-
     import hashlib as h
 
     bench = [(i, " ".join(t)) for i, t in items.items()] + [(99, None), (None, "v1 v2"), (98, " . "), (7, " ".join(items[7]))]
@@ -206,7 +211,7 @@ def test_decontamination(spark, odd):
     for bits in (26, 17):  # a filter far too small changes no result
         if bits != 26:
             got = {r["text_key"]: r["items"] for r in decontam.overlaps(docs, bench, filter_bits=bits).collect()}
-        assert all(got.get(h.md5(t.encode()).hexdigest(), []) == want(t) for t in texts if t is not None)
+        assert all(got.get(h.md5(t.encode()).hexdigest(), []) == leaks_of(t, items) for t in texts if t is not None)
     assert decontam.overlaps(odd, bench).filter("size(items) > 0").select("text_key").distinct().count() <= 1
     assert decontam.overlaps(docs, bench.limit(0)).count() == 0 and decontam.overlaps(docs.limit(0), bench).count() == 0
 
@@ -235,7 +240,10 @@ def test_bpe_is_the_library(spark, docs, odd):
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert rows_of(bpe.op3_bpe(spark, SF), *cols) == sorted(map(want, docs.doc_id, docs.text), key=key)
     pairs = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    assert rows_of(bpe.digests(odd), *cols) == sorted((want(*p) for p in pairs), key=key)
+    held = bpe.tokenised(odd)
+    assert rows_of(held, *cols) == sorted((want(*p) for p in pairs), key=key)
+    assert all(hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest() == r["ids_sha256"] for r in held.collect())
+    assert bpe.tokenised(odd.limit(0)).count() == 0
 
 
 def test_substrings_are_brute_force(spark, docs, odd):
@@ -477,11 +485,42 @@ def test_pii_survives_another_split(spark, tmp_path, monkeypatch):
 
 
 def test_pipeline(spark, docs):
+    """Each stage by a plain reading of its rule, but for the languages, which a trained network decides."""
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "near_dedup", "decontamination", "pii", "bpe"]
-    got = corpus_pipeline.run(spark, SF).toPandas()
-    assert 0 < len(got) < len(docs) and got.doc_id.is_unique
     assert "pipeline" in __spark_entry__.queries()
+    left = langid.stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).toPandas().sort_values("doc_id")
+    text, sets = dict(zip(left.doc_id, left.text)), {}
+    for i, t in text.items():
+        w = re.findall(BLANKS, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    alike = lambda x, y: min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y)
+    first, pairs = {i: i for i in text}, [(i, j) for i in text for j in text if j < i and alike(sets[i], sets[j])]
+    while True:
+        old = dict(first)
+        for i, j in pairs:
+            first[i] = first[j] = min(first[i], first[j])
+        if old == first:
+            break
+    bench = pd.read_parquet(f"{SF}/benchmark.parquet")
+    items = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in zip(bench.item_id, bench.text)}
+    kept = [i for i in text if first[i] == i and not leaks_of(text[i], items)]
+    assert 0 < len(kept) < len(text) < len(docs) + 1
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    t.no_padding()
+    want = {}
+    for i in kept:
+        out, at = "", 0
+        cuts = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in spans_of(text[i]).split(",") if x))
+        for a, b, kind in cuts:
+            if a >= at:
+                out += text[i][at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        want[i] = t.encode(out + text[i][at:], add_special_tokens=False).ids
+    got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert got == want  # no term tells of an entity in a table this small
 
 
 def test_pii_addresses(spark):
