@@ -53,6 +53,23 @@ def smallest(df: DataFrame, by: str, key: str, n: int, salts: int = 8) -> DataFr
     return few.drop("_salt", "_place")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that stand in no column of ``df``, in any case."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, dotted names too."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a fixed mask over ``SPAN`` consecutive words; the words under its zeros are ignored, so a passage with some
-words replaced still hits. Benchmark windows are hashed under every mask to a table of (seed, item, place), which Spark
+A seed is a fixed mask over up to ten consecutive words; the words under its zeros are ignored, so a passage with some
+words replaced still hits. The masks lose nothing that the rule below counts: every stretch of ten words with two of
+them replaced, and every stretch of eight with one replaced, holds all words of some mask (a test goes through them
+all), and an overlap of 8 to 14 aligned words with a share of 0.8 holds such a stretch. Benchmark windows are hashed under every mask to a table of (seed, item, place), which Spark
 partitions as it likes. Each text is hashed under the same masks, and hashes that stand in the table are joined with
 it. What keeps the join small is a Bloom filter of the table's seeds, ``filter_bits`` bits whatever the benchmark's
 size, made from partial filters and broadcast: only hashes that pass it leave the scan. A false pass is met by no row
@@ -28,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, table, written
+from .common import only, spare, table, written
 
-SPAN = 10
-MASKS = ("1111111111", "1101101101", "1011010111", "1110100111", "1001111011")
+# Masks of six words found by search over all masks of at most ten places.
+MASKS = ("111111", "1101111", "11110011", "110101011", "1110010011")
 WORDS = re.compile(r"[^\W_]+")
 CHUNK = 16  # bits of a position within its piece of the filter
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(32)], np.uint64)
@@ -76,7 +78,7 @@ def _seeds(least: int):
             out = []
             for item, text in zip(batch["item"], batch["text"]):
                 ids = _ids(text, cache)
-                masks = (*MASKS, "1" * least) if len(ids) >= least else ("1" * len(ids),)
+                masks = MASKS if len(ids) >= least else ("1" * len(ids),)
                 for h in _masked_all(ids, masks) if len(ids) else ():
                     h = h.view(np.int64)
                     out.append(pd.DataFrame({"seed": h, "item": item, "place": np.arange(len(h), dtype=np.int32), "wide": len(ids)}))
@@ -179,7 +181,7 @@ def overlaps(
     items = items.withColumn("item", F.xxhash64("item_id", "text")).dropDuplicates(["item"])
     seeds = written(items.mapInPandas(_seeds(least), "seed long, item long, place int, wide int"))
     short = [r["wide"] for r in seeds.filter(F.col("wide") < least).select("wide").distinct().collect()]  # under ``least`` values
-    masks = (*MASKS, "1" * least, *("1" * n for n in sorted(short)))
+    masks = (*MASKS, *("1" * n for n in sorted(short) if n != len(MASKS[0])))
     held = spark.sparkContext.broadcast(_filter(seeds, filter_bits))
     texts = only(docs, "text").filter("text is not null").select(F.md5("text").alias("text_key"), "text")
     schema = "text_key string, text string, seeds array<long>, places array<int>"
@@ -212,5 +214,6 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that hold no benchmark passage; null and empty texts stay."""
-    bad = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("text_key").alias("_bad"))
-    return docs.join(bad, F.md5(F.col("text")) == F.col("_bad"), "left_anti")
+    (own,) = spare(docs, "bad")
+    bad = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("text_key").alias(own))
+    return docs.join(bad, F.md5(F.col("text")) == F.col(own), "left_anti")

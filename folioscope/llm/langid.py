@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, smallest, table, written
+from .common import columns, only, smallest, spare, table, written
 
 WIDTHS = (2, 3, 4)
 LETTER = regex.compile(r"\p{L}")
@@ -162,5 +162,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.4)
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     net = fit(docs.filter(fold != 1))
     p = predicted(net, spark, F.col("text"))
-    kept = docs.withColumn("_p", p).filter((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least))
-    return kept.select(*docs.columns)
+    (own,) = spare(docs, "prediction")
+    kept = docs.withColumn(own, p).filter((F.col(f"{own}.lang_pred") != "und") & (F.col(f"{own}.score") >= least))
+    return kept.select(*columns(docs))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import only, table, written
+from .common import only, spare, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -51,9 +51,9 @@ def _valid(kind: Column, found: Column) -> Column:
     return F.when(kind == 0, True).when(kind == 1, ip).when(kind == 2, card).otherwise(n.between(9, 15))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, name: str = "_rid") -> DataFrame:
     """The columns of ``docs`` and a row number, fixed by the scan: write it before a second job reads it."""
-    return docs.withColumn("_rid", F.monotonically_increasing_id())
+    return docs.withColumn(name, F.monotonically_increasing_id())
 
 
 def matches(rows: DataFrame, reach: int) -> DataFrame:
@@ -67,8 +67,9 @@ def matches(rows: DataFrame, reach: int) -> DataFrame:
         )
         kinds.append(F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("found"), gaps.alias("gaps")))
     held = rows.select("_rid", F.explode(F.array(*kinds)).alias("k")).filter(F.size("k.found") > 0)
-    held = held.select("_rid", "k.kind", "k.gaps", F.posexplode("k.found").alias("i", "found"))
-    held = held.select("_rid", "kind", "i", "found", F.get("gaps", F.col("i")).alias("g"), F.get("gaps", F.col("i") + 1).alias("h"))
+    # Match and both gaps in one row: an array beside the exploded matches would be copied for each of them.
+    both = F.arrays_zip(F.col("k.found").alias("found"), F.col("k.gaps").alias("g"), F.slice("k.gaps", F.lit(2), F.size("k.gaps")).alias("h"))
+    held = held.select("_rid", "k.kind", F.posexplode(both).alias("i", "m")).select("_rid", "kind", "i", "m.*").filter("found is not null")
     upto = Window.partitionBy("_rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("found")
     end = F.sum(F.col("g.n") + size).over(upto)
@@ -148,25 +149,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of its text generalised to its kind, as [EMAIL]; overlapping spans become one."""
-    rows = written(numbered(docs))
-    found = spans(rows.select("_rid", "text"))
+    rid, own = spare(docs, "rid", "cut")
+    rows = written(numbered(docs, rid))
+    found = spans(rows.select(F.col(rid).alias("_rid"), "text"))
     order = Window.partitionBy("_rid").orderBy("start", "kind", "end")
     past = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("new", (past.isNull() | (F.col("start") >= past)).cast("int"))
     found = found.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     found = found.groupBy("_rid", "island").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.min("kind").alias("k"))
-    found = found.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("s", "e", "k"))).alias("_cut"))
+    found = found.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("s", "e", "k"))).alias(own))
+    cut, found = F.col(own), found.withColumnRenamed("_rid", rid)
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def piece(c: Column, i: Column) -> Column:
-        start = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("_cut", i - 1)["e"])
+        start = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(cut, i - 1)["e"])
         return F.concat(F.substr("text", (start + 1).cast("int"), (c["s"] - start).cast("int")), F.get(name, c["k"]))
 
-    last = F.element_at("_cut", -1)["e"]
-    text = F.concat(F.array_join(F.transform("_cut", piece), ""), F.substr("text", (last + 1).cast("int"), F.length("text")))
-    text = F.when(F.col("_cut").isNotNull(), text).otherwise(F.col("text"))
+    last = F.element_at(cut, -1)["e"]
+    text = F.concat(F.array_join(F.transform(cut, piece), ""), F.substr("text", (last + 1).cast("int"), F.length("text")))
+    text = F.when(cut.isNotNull(), text).otherwise(F.col("text"))
     kept = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return rows.join(found, "_rid", "left").select(*kept)
+    return rows.join(found, rid, "left").select(*kept)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

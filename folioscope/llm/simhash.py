@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import UPPER, LOWER, only, table, written
+from .common import LOWER, UPPER, columns, only, spare, table, written
 
 _TABLE = {ord(a): b for a, b in zip(UPPER, LOWER)}
 _SPLIT = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
@@ -275,9 +275,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from . import neardup  # builds on this module
 
+    (row,) = spare(docs, "row")
     losers = neardup.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
     kept = docs.join(losers, "doc_id", "left_anti")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 and doc_id is not null")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 and doc_id is not null").select("doc_id")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    one = kept.join(again, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).filter("_row = 1")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    one = kept.join(again, "doc_id", "left_semi").withColumn(row, F.row_number().over(first)).filter(F.col(row) == 1)
+    return kept.join(again, "doc_id", "left_anti").select(*columns(docs)).unionByName(one.select(*columns(docs)))

@@ -78,22 +78,17 @@ def spans_of(text):
 
 
 def leaks_of(text, items):
-    """Ids of the items found: every diagonal with words enough for a mask, kept where some mask agrees."""
+    """Ids of the items found, by the rule alone: every diagonal with words enough for its share."""
     w, found = re.findall(r"[^\W_]+", (text or "").lower()), []
     for i, item in items.items():
-        masks = (*decontam.MASKS, "1" * 8) if len(item) >= 8 else ("1" * len(item),)
         places = {x: [k for k, y in enumerate(item) if x == y] for x in item}
         shifts = Counter(p - k for p, x in enumerate(w) for k in places.get(x, ()))
-        for shift in [x for x, n in shifts.items() if n >= min(6, len(item))]:  # no mask asks for fewer words
+        for shift in [x for x, n in shifts.items() if n >= min(6, len(item))]:  # 0.8 of eight words are more
             same = [0 <= k + shift < len(w) and w[k + shift] == x for k, x in enumerate(item)]
             inside = [0 <= k + shift < len(w) for k in range(len(item))]
-            hit = any(
-                all(inside[k : k + len(m)]) and all(s or b == "0" for s, b in zip(same[k:], m))
-                for m in masks for k in range(len(item) - len(m) + 1)
-            )
             need = min(13, len(item))
             runs = [sum(same[k : k + need]) / need for k in range(len(item) - need + 1) if all(inside[k : k + need])]
-            if hit and runs and max(runs) >= (0.8 if len(item) >= 8 else 1.0):
+            if runs and max(runs) >= (0.8 if len(item) >= 8 else 1.0):
                 found.append(i)
                 break
     return found
