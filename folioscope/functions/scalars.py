@@ -113,7 +113,9 @@ def sanitize(text: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """I16: numeric and five named references, & last. A number is decoded from its four UTF-32 bytes."""
+    """I16: four named references, then numeric ones, & last. A number is decoded from its four UTF-32 bytes."""
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+        text = F.replace(text, F.lit(a), F.lit(b))
     parts = F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});|&[^&]*|[^&]+"), F.lit(0))
 
     def one(p: Column) -> Column:
@@ -123,10 +125,7 @@ def decode_entities(text: Column) -> Column:
         known = (code < 0x110000) & ~code.between(0xD800, 0xDFFF) & (code > 0)
         return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(p)
 
-    text = F.array_join(F.transform(parts, one), "")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
+    return F.replace(F.array_join(F.transform(parts, one), ""), F.lit("&amp;"), F.lit("&"))
 
 
 def norm(text: Column) -> Column:

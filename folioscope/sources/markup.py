@@ -2,57 +2,133 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.functions.scalars import decode_entities
 from folioscope.plans.catalog import query, table
 
-# What is no tag, a tag, an attribute; the classified names.
-NOISE = "<!--[^>]*-->|<[!?][^>]*>"
-TAG = "</?[a-zA-Z][^>]*>"
+# What is no tag (taken away in this order), a tag, an attribute; the classified names.
+NOISE = ("(?s)<!--.*?-->", r"(?s)<!\[CDATA\[.*?\]\]>", r"(?s)<\?.*?\?>", "(?i)<!DOCTYPE[^>]*>")
+NAME = r"[A-Za-z_][\w:.-]*"
+TAG = rf"""</?{NAME}+(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+ATTRIBUTE = rf"""{NAME}\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 HANDLED = ("html", "head", "body", "p", "h1", "ul", "li", "a", "nav", "footer", "b", "article")
 IGNORED = ("meta", "title", "script", "style", "article", "table")
 DROPPED = ("html", "head", "meta", "title", "script", "style")
 
-TAGS = f"""tags AS (SELECT page_id, CAST(pos AS INT) AS pos, raw, lower(regexp_extract(raw, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name,
-raw LIKE '</%' AS closing, raw LIKE '%/>' AS alone FROM (SELECT page_id, unnest(m) AS raw, unnest(range(len(m))) AS pos
-FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '{NOISE}', '', 'g'), '{TAG}') AS m FROM pages)))"""
+# The same in SQL, for its regular expressions: no possessive loops there, quotes doubled.
+_TAG = rf"""</?{NAME}(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+_ATTRIBUTE = ATTRIBUTE.replace("'", "''")
 
 
-def tags(pages: DataFrame) -> DataFrame:
-    """page_id, pos, raw, name, closing, alone (self-closing) of each tag, comments and declarations stripped first."""
-    found = F.regexp_extract_all(F.regexp_replace("html", NOISE, ""), F.lit(TAG), F.lit(0))
-    rows = pages.select("page_id", F.posexplode(found).alias("pos", "raw"))
+def noiseless(text: str) -> str:
+    """SQL for a text without comments, CDATA, instructions and doctype."""
+    for n in NOISE:
+        text = f"regexp_replace({text}, '{n}', '', 'g')"
+    return text
+
+
+def attributes_sql(raw: str) -> str:
+    """SQL for the list of a tag's attributes, as they stand."""
+    return f"""regexp_extract_all(regexp_replace(regexp_replace({raw}, '^</?{NAME}', ''), '/?>$', ''), '{_ATTRIBUTE}')"""
+
+
+def value_sql(a: str) -> str:
+    """SQL for an attribute's value without its quotes (references as they stand)."""
+    return f"""regexp_replace(regexp_replace({a}, '(?s)^[^=]*=\\s*', ''), '(?s)^["''](.*)["'']$', '\\1')"""
+
+
+TAGS = f"""tags AS (SELECT page_id, CAST(pos AS INT) AS pos, raw, lower(regexp_replace(regexp_extract(raw, '^</?({NAME})', 1), '^.*:', '')) AS name,
+raw LIKE '</%' AS closing, raw LIKE '%/>' AND raw NOT LIKE '</%' AS alone FROM (SELECT page_id, unnest(m) AS raw, unnest(range(len(m))) AS pos
+FROM (SELECT page_id, regexp_extract_all({noiseless("html")}, '{_TAG}') AS m FROM pages)))"""
+
+
+def markup(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Key, pos, raw, name (prefix dropped), closing, alone (self-closing), attrs (name and decoded value, in order) of each
+    tag, and the text before it since the last tag. Comments, CDATA, instructions and doctype are taken away first; `>` inside
+    quotes ends no tag. Null and empty texts have no tags."""
+    source = F.col(text)
+    for n in NOISE:
+        source = F.regexp_replace(source, n, "")
+    rows = docs.select(key, source.alias("source"))
+    both = F.arrays_zip(F.regexp_extract_all("source", F.lit(TAG), F.lit(0)).alias("raw"), F.split("source", TAG, -1).alias("before"))
+    rows = rows.select(key, F.posexplode(both).alias("pos", "t")).select(key, "pos", "t.raw", "t.before").filter("raw is not null")
+    rows = rows.withColumn("held", F.regexp_extract_all(F.regexp_replace("raw", rf"^</?{NAME}|/?>$", ""), F.lit(ATTRIBUTE), F.lit(0)))
+
+    def parted(a: Column) -> Column:
+        value = F.regexp_replace(a, r"^[^=]*=\s*", "")
+        value = F.when(value.rlike("^[\"']"), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        value = F.when(value.contains("&"), decode_entities(value)).otherwise(value)
+        return F.struct(F.regexp_extract(a, rf"^{NAME}", 0).alias("name"), value.alias("value"))
+
+    closing = F.col("raw").startswith("</")
     return rows.select(
-        "page_id", "pos", "raw", F.lower(F.regexp_extract("raw", "^</?([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("name"),
-        F.col("raw").startswith("</").alias("closing"), F.col("raw").endswith("/>").alias("alone"),
+        key, "pos", "raw", F.regexp_replace(F.regexp_extract("raw", rf"^</?({NAME})", 1), "^.*:", "").alias("name"), closing.alias("closing"),
+        (F.col("raw").endswith("/>") & ~closing).alias("alone"), F.transform("held", parted).alias("attrs"), "before",
     )
 
 
+def attribute(attrs: str, name: str) -> Column:
+    """The value of an attribute; of several, the last."""
+    return F.try_element_at(F.filter(attrs, lambda a: a["name"] == name), F.lit(-1))["value"]
+
+
+def depths(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, pos, closing, alone) with depth: how many elements are open around a tag. Closing what is not open leaves
+    the depth at zero; self-closing elements open nothing."""
+    order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("depth", F.sum(F.when(F.col("closing"), -1).when(F.col("alone"), 0).otherwise(1)).over(order))
+    after = F.col("depth") - F.least(F.lit(0), F.min("depth").over(order))
+    return rows.withColumn("depth", (after - F.when(F.col("closing") | F.col("alone"), 0).otherwise(1)).cast("int"))
+
+
+def innermost(opens: DataFrame, key: str, value: str, levels: Column) -> DataFrame:
+    """for each opening tag and each depth of ``levels`` below its own, the element open there: key, pos, k, value, at.
+
+    An element is open at depth k where it is the last opened one of that depth. Askers and elements meet in one window per
+    document and depth, in order.
+    """
+    some = F.filter(levels, lambda k: (k >= 0) & (k < F.col("depth")))
+    asks = opens.filter("depth > 0").select(key, "pos", F.explode(some).alias("k"), F.lit(None).cast(opens.schema[value].dataType).alias(value), F.lit(True).alias("asks"))
+    held = opens.filter("not alone").select(key, "pos", F.col("depth").alias("k"), value, F.lit(False).alias("asks"))
+    before = Window.partitionBy(key, "k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(~F.col("asks"), F.struct(F.col(value), F.col("pos").alias("at"))), ignorenulls=True).over(before)
+    return asks.unionByName(held).select(key, "pos", "k", "asks", last.alias("e")).filter("asks").select(key, "pos", "k", f"e.{value}", "e.at")
+
+
+def tags(pages: DataFrame) -> DataFrame:
+    """A7 on pages, names in lower case."""
+    return markup(pages, "page_id", "html").withColumn("name", F.lower("name"))
+
+
 def _tags(spark, sf_dir) -> DataFrame:
     return tags(table(spark, sf_dir, "pages"))
 
 
-@query(f"""WITH {TAGS} SELECT page_id, pos, name, closing, alone, regexp_extract(raw, 'class="([^"]*)"', 1) AS class,
-len(regexp_extract_all(raw, '[a-zA-Z-]+="[^"]*"')) AS attributes FROM tags""")
+@query(f"""WITH {TAGS}, a AS (SELECT *, {attributes_sql("raw")} AS held FROM tags) SELECT page_id, pos, name, closing, alone, len(held) AS attributes,
+coalesce({value_sql("list_filter(held, lambda x: starts_with(x, 'class'))[-1]")}, '') AS class FROM a""")
 def a7_markup_scan(spark, sf_dir):
-    """A7, with the class and the number of quoted attributes."""
-    attributes = F.size(F.regexp_extract_all("raw", F.lit('[a-zA-Z-]+="[^"]*"'), F.lit(0)))
+    """A7, with the class and the number of attributes."""
     return _tags(spark, sf_dir).select(
-        "page_id", "pos", "name", "closing", "alone", F.regexp_extract("raw", 'class="([^"]*)"', 1).alias("class"), attributes.alias("attributes")
+        "page_id", "pos", "name", "closing", "alone", F.coalesce(attribute("attrs", "class"), F.lit("")).alias("class"), F.size("attrs").alias("attributes")
     )
 
 
-@query(f"""WITH {TAGS} SELECT page_id, pos, lower(split_part(a, '=', 1)) AS key, replace(substr(a, strpos(a, '=') + 1), '"', '') AS value
-FROM (SELECT page_id, pos, unnest(regexp_extract_all(raw, '[a-zA-Z-]+="[^"]*"')) AS a FROM tags)""")
+_ATTRS = f"""{TAGS}, a AS (SELECT page_id, pos, name, regexp_extract(a, '^{NAME}') AS key, {value_sql("a")} AS value
+FROM (SELECT page_id, pos, name, unnest({attributes_sql("raw")}) AS a FROM tags))"""
+
+
+def _attributes(spark, sf_dir) -> DataFrame:
+    rows = _tags(spark, sf_dir).select("page_id", "pos", "name", F.explode("attrs").alias("a"))
+    return rows.select("page_id", "pos", "name", F.col("a.name").alias("key"), "a.value")
+
+
+@query(f"WITH {_ATTRS} SELECT page_id, pos, lower(key) AS key, value FROM a")
 def a6_attributes(spark, sf_dir):
     """A6 on markup: one row per attribute of an element."""
-    rows = _tags(spark, sf_dir).select("page_id", "pos", F.explode(F.regexp_extract_all("raw", F.lit('[a-zA-Z-]+="[^"]*"'), F.lit(0))).alias("a"))
-    return rows.select(
-        "page_id", "pos", F.lower(F.split_part("a", F.lit("="), F.lit(1))).alias("key"),
-        F.replace(F.expr("substr(a, instr(a, '=') + 1)"), F.lit('"'), F.lit("")).alias("value"),
-    )
+    return _attributes(spark, sf_dir).select("page_id", "pos", F.lower("key").alias("key"), "value")
 
 
 @query(f"""WITH {TAGS} SELECT name AS key, count(*) AS n, count(DISTINCT page_id) AS files,
@@ -66,17 +142,13 @@ def e1_event_profile(spark, sf_dir):
     )
 
 
-@query(f"""WITH {TAGS}, a AS (SELECT page_id, pos, name, split_part(a, '=', 1) AS key, left(replace(substr(a, strpos(a, '=') + 1), '"', ''), 120) AS v
-FROM (SELECT page_id, pos, name, unnest(regexp_extract_all(raw, '[a-zA-Z-]+="[^"]*"')) AS a FROM tags)),
-s AS (SELECT key, v, min(page_id * 100000 + pos) AS first, row_number() OVER (PARTITION BY key ORDER BY min(page_id * 100000 + pos)) AS k FROM a GROUP BY key, v)
+@query(f"""WITH {_ATTRS}, c AS (SELECT page_id, pos, name, key, left(value, 120) AS v FROM a),
+f AS (SELECT key, v, min(struct_pack(p := page_id, q := pos)) AS first FROM c GROUP BY key, v), s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY first) AS k FROM f)
 SELECT key, count(*) AS n, count(DISTINCT page_id) AS files, array_to_string(list_sort(list(DISTINCT name)), ',') AS events,
-count(*) FILTER (WHERE regexp_matches(v, '^[0-9]+$')) AS numbers, (SELECT string_agg(v, '|' ORDER BY first) FROM s WHERE s.key = a.key AND k <= 8) AS samples FROM a GROUP BY key""")
+count(*) FILTER (WHERE regexp_matches(v, '^[0-9]+$')) AS numbers, (SELECT string_agg(v, '|' ORDER BY first) FROM s WHERE s.key = c.key AND k <= 8) AS samples FROM c GROUP BY key""")
 def e2_property_profile(spark, sf_dir):
     """Count, files, elements, numbers and the first eight distinct samples of each attribute, cut at 120 characters."""
-    a = F.explode(F.regexp_extract_all("raw", F.lit('[a-zA-Z-]+="[^"]*"'), F.lit(0)))
-    rows = _tags(spark, sf_dir).select((F.col("page_id") * 100000 + F.col("pos")).alias("at"), "page_id", "name", a.alias("a"))
-    value = F.substring(F.replace(F.expr("substr(a, instr(a, '=') + 1)"), F.lit('"'), F.lit("")), 1, 120)
-    rows = rows.select("at", "page_id", "name", F.split_part("a", F.lit("="), F.lit(1)).alias("key"), value.alias("v"))
+    rows = _attributes(spark, sf_dir).select(F.struct("page_id", "pos").alias("at"), "page_id", "name", "key", F.substring("value", 1, 120).alias("v"))
     firsts = rows.groupBy("key", "v").agg(F.min("at").alias("at"))
     w = Window.partitionBy("key").orderBy("at")  # Spark keeps eight rows per key and task before the shuffle
     firsts = firsts.withColumn("k", F.row_number().over(w)).filter("k <= 8").groupBy("key").agg(
@@ -179,30 +251,39 @@ def c5_recommendation(spark, sf_dir):
     return rows.select("page_id", F.left("a", F.lit(4)).alias("format"), F.col("a").endswith("!").alias("confident"), (F.col("a") == "docx!").alias("suggested"))
 
 
-_NEST = f"""{TAGS}, r AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER w AS d, sum(CASE WHEN name = 'ul' THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END) OVER w AS l
-FROM tags WHERE name IN ('nav', 'ul', 'li', 'article', 'footer') WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-n AS (SELECT *, CAST(d - least(0, min(d) OVER w) AS INT) AS depth, CAST(l - least(0, min(l) OVER w) AS INT) AS level FROM r WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
+CONTAINERS = ("nav", "ul", "ol", "li", "article", "footer")
+LISTS = ("ul", "ol")
+_NEST = f"""{TAGS}, c AS (SELECT page_id, pos, name, closing, alone, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS i FROM tags WHERE name IN {CONTAINERS}),
+r AS (SELECT page_id, i, pos, name, closing, CAST([] AS INT[]) AS above, CASE WHEN closing OR alone THEN CAST([] AS INT[]) ELSE [pos] END AS stack,
+CAST([] AS VARCHAR[]) AS lists, CASE WHEN name IN {LISTS} AND NOT closing AND NOT alone THEN [name] ELSE CAST([] AS VARCHAR[]) END AS held FROM c WHERE i = 1 UNION ALL
+SELECT c.page_id, c.i, c.pos, c.name, c.closing, r.stack, CASE WHEN c.closing THEN r.stack[:-2] WHEN c.alone THEN r.stack ELSE r.stack || [c.pos] END, r.held,
+CASE WHEN c.name NOT IN {LISTS} OR c.alone THEN r.held WHEN c.closing THEN r.held[:-2] ELSE r.held || [c.name] END FROM r JOIN c ON c.page_id = r.page_id AND c.i = r.i + 1)"""
 
 
-@query(f"""WITH {_NEST} SELECT page_id, pos, name, depth, coalesce(max(CASE WHEN name = 'ul' THEN pos END) OVER (PARTITION BY page_id ORDER BY pos
-ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS list, level FROM n QUALIFY NOT closing""")
+@query(f"""WITH RECURSIVE {_NEST} SELECT page_id, pos, name, CAST(len(above) AS INT) AS depth, coalesce(above[-1], -1) AS parent, CAST(len(lists) AS INT) AS level,
+coalesce(lists[-1], '') AS list_type FROM r WHERE NOT closing""")
 def f3_nesting(spark, sf_dir):
-    """depth of each container, the last list opened before it and the list level there."""
-    rows = _tags(spark, sf_dir).filter(F.col("name").isin("nav", "ul", "li", "article", "footer"))
-    return nested(rows).filter(~F.col("closing")).drop("closing")
-
-
-def nested(rows: DataFrame) -> DataFrame:
-    """Depth, last list and list level over tags; closing what is not open leaves the depth at zero."""
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("closing"), -1).otherwise(1)
-    rows = rows.select(
-        "page_id", "pos", "name", "closing", F.sum(step).over(w).alias("d"),
-        F.coalesce(F.max(F.when(F.col("name") == "ul", F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)).alias("list"),
-        F.sum(F.when(F.col("name") == "ul", step).otherwise(0)).over(w).alias("l"),
+    """of each container how many are open around it, the innermost of them, and the level and kind of list it is in."""
+    return nested(_tags(spark, sf_dir).filter(F.col("name").isin(*CONTAINERS)), "page_id")
+
+
+def nested(rows: DataFrame, key: str) -> DataFrame:
+    """F3, F7 over tags(key, pos, name, closing, alone): depth, parent (its pos or -1), level and list_type ('' outside lists)."""
+    rows = depths(rows.select(key, "pos", "name", "closing", "alone"), key)
+    order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    listed, closing = F.col("name").isin(*LISTS) & ~F.col("alone"), F.col("closing")
+    rows = rows.withColumn("level", F.sum(F.when(listed & closing, -1).when(listed, 1).otherwise(0)).over(order))
+    rows = rows.withColumn("level", F.col("level") - F.least(F.lit(0), F.min("level").over(order)) - F.when(listed & ~closing, 1).otherwise(0))
+    opens = rows.filter("not closing")
+    parents = innermost(opens, key, "name", F.array(F.col("depth") - 1)).select(key, "pos", F.col("at").alias("parent"))
+    # For the kind of list, lists are the only elements and the level is their depth.
+    kinds = opens.select(key, "pos", "name", F.col("level").cast("int").alias("depth"), (~listed).alias("alone"))
+    kinds = innermost(kinds, key, "name", F.array(F.col("depth") - 1)).select(key, "pos", F.col("name").alias("list_type"))
+    out = opens.join(parents, [key, "pos"], "left").join(kinds, [key, "pos"], "left")
+    return out.select(
+        key, "pos", "name", "depth", F.coalesce("parent", F.lit(-1)).alias("parent"), F.col("level").cast("int").alias("level"),
+        F.coalesce("list_type", F.lit("")).alias("list_type"),
     )
-    above = lambda c: (F.col(c) - F.least(F.lit(0), F.min(c).over(w))).cast("int")
-    return rows.select("page_id", "pos", "name", "closing", above("d").alias("depth"), "list", above("l").alias("level"))
 
 
 _SIGN = f"""{TAGS}, sig AS (SELECT p.page_id, count(*) FILTER (WHERE name = 'p' AND NOT closing) AS p, count(*) FILTER (WHERE name = 'li' AND NOT closing) AS li,

@@ -205,9 +205,9 @@ def test_planned_outputs(spark, tmp_path):
 
 def test_nesting_never_falls_below_zero(spark):
     tags = [("li", True), ("ul", False), ("li", False), ("li", True), ("ul", True), ("ul", True), ("ul", False)]
-    df = spark.createDataFrame([(1, i, n, c) for i, (n, c) in enumerate(tags)], "page_id int, pos int, name string, closing boolean")
-    got = {r["pos"]: (r["depth"], r["level"]) for r in markup.nested(df).collect()}
-    assert got == {0: (0, 0), 1: (1, 1), 2: (2, 1), 3: (1, 1), 4: (0, 0), 5: (0, 0), 6: (1, 1)}
+    df = spark.createDataFrame([(1, i, n, c, False) for i, (n, c) in enumerate(tags)], "page_id int, pos int, name string, closing boolean, alone boolean")
+    got = {r["pos"]: (r["depth"], r["level"]) for r in markup.nested(df, "page_id").collect()}
+    assert got == {1: (0, 0), 2: (1, 1), 6: (0, 0)}
 
 
 def test_deadlines_and_progress(spark, tmp_path):
