@@ -26,14 +26,18 @@ def query(sql: str | None):
     return add
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the cluster's shared checkpoint folder: fixed rows, no lineage."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared checkpoint folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-written-", dir="/tmp")  # Spark runs in this process: tests
-    path = f"{folder}/fixed-{uuid.uuid4().hex}"
+    return f"{folder}/fixed-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the cluster's shared checkpoint folder: fixed rows, no lineage."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

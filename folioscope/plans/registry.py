@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from folioscope.functions import scalars
-from folioscope.operators import aggregates, drawings, gates, joins, ordered, projections, reference, reports
+from folioscope.operators import aggregates, drawings, gates, ink, joins, ordered, projections, reference, reports
 from folioscope.plans import catalog
-from folioscope.sources import corpus, markup, pictures
-from folioscope.streaming import delivery
+from folioscope.sources import corpus, markup, pictures, properties
+from folioscope.streaming import delivery, merge
 
-MODULES = (reference, scalars, markup, corpus, pictures, projections, gates, joins, aggregates, ordered, reports, delivery, drawings)
+MODULES = (reference, scalars, markup, corpus, pictures, projections, gates, joins, aggregates, ordered, reports, delivery, drawings, ink, properties, merge)
 QUERIES = dict(catalog.QUERIES)
 ORACLE = dict(catalog.ORACLE)
