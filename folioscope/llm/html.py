@@ -10,7 +10,9 @@ element shares it. Valid classes nest by path into the host's template. Its text
 dropped; so are slots (element paths) whose text stands on several pages in ``stale`` of all cases, with all that is
 nested in them: menus and adverts drawn from a pool. What remains are the slots that vary. Where `article` or `main`
 is a slot, only what it holds counts, else the body. Elements that name their part themselves (`nav`, class `ad`, ...)
-are no slots of text anywhere: reader comments vary like an article, and a host of few pages proves no template.
+are no slots of text anywhere: reader comments vary like an article, and a host of few pages proves no template. Class,
+id and role name a part only if all their words speak of page parts (`ad`, `share-buttons`, `related posts list`); with
+any other word (`share price`, `related work`) they name a subject, and the template alone decides.
 
 The html is read in one linear pass: blocks are cut at block elements, references are decoded, white space becomes one
 space. A tag or comment left open at the end is dropped, an element left open ends with its parent. Null, empty or
@@ -42,11 +44,18 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ENDS_P = BLOCKS - {"body", "html"}
-NAMES = re.compile(
-    r"(^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|menu|nav|navbar"
-    r"|navigation|newsletter|notice|popup|promo|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)($|[\s_-])",
+PARTS = re.compile(
+    r"ads?|advert\w*|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|menu|nav|navbar"
+    r"|navigation|newsletter|notice|popup|promo|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget",
     re.I,
 )
+NEUTRAL = frozenset(
+    "area aside bar block body bottom box button buttons center col column container content div element entry extra fixed"
+    " float form global group head holder icon icons inline inner item items js left lg line link links list main md media"
+    " middle mobile module new outer page panel post posts primary region reply right row secondary section sm site slot"
+    " small sticky text thread title top unit ul user users wrap wrapper xl xs".split()
+)
+WORDS = re.compile(r"[^\W_]+")
 OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACES = re.compile(r"\s+")
@@ -59,7 +68,11 @@ def _name(tag: str, attrs: str) -> str:
 
 def _part(token: str) -> bool:
     tag, names = token.split("|", 1)
-    return tag in FURNITURE or (tag not in ("body", "html", "main", "article") and bool(NAMES.search(names)))
+    if tag in FURNITURE:
+        return True
+    words = () if tag in ("body", "html", "main", "article") else WORDS.findall(names)
+    named = [bool(PARTS.fullmatch(w)) for w in words]
+    return any(named) and all(n or w.isdigit() or w.lower() in NEUTRAL for n, w in zip(named, words))
 
 
 def _hash(*parts) -> int:

@@ -1,10 +1,12 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
 Each text keeps only its licence words with their positions. Corpus document counts give each licence word its IDF,
-and each file's licence words are ranked by it. A template is looked up by the file's highest-IDF word that it holds:
-every place of that word, at every offset the template has it at, is a place where the template may start (position
-less offset). There the postings of the template are intersected with the file's words by relative position; the
-template counts if at least ``share`` of its IDF weight stands at its own offsets, and the key phrase stands whole.
+and each file's licence words are ranked by it. A template is looked up by the file's highest-IDF word of its mandatory
+key phrase: every place of that word, at every offset the phrase has it at, is a place where the template may start
+(position less offset). There the postings of the template are intersected with the file's words by relative position;
+the template counts if at least ``share`` of its IDF weight stands at its own offsets, and the key phrase stands whole.
+As the phrase must stand whole, its words stand at every place that counts, so one of them finds all such places,
+whatever rare words of the template stand elsewhere in the file or are missing from the notice.
 A file without a template's words has no place to look at; one with many has windows of twice the template's length to
 read for each, so long files cost in proportion. Nothing is shuffled but the counts of the licence words.
 
@@ -102,7 +104,7 @@ class Template:
         self.posts = [(self.words[i] if i in held else None, idf[self.words[i]] / total if i in held else 0.0, at <= i < at + len(key)) for i in range(len(self.words))]
         self.keys = len(key)
         self.offsets: dict[str, list[int]] = {}
-        for i in sorted(held):
+        for i in range(at, at + len(key)):
             self.offsets.setdefault(self.words[i], []).append(i)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import html as entities
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontam, langid, pii, simhash
+from folioscope.llm import bpe, decontam, html, langid, licences, pii, simhash
 from folioscope.llm.common import spare
 
 
@@ -78,3 +80,37 @@ def test_stages_keep_clashing_columns(spark, tmp_path, monkeypatch):
     assert [r["text"] for r in pii.stage(spark, docs, "").filter("doc_id = 3").collect()] == ["mail me at [EMAIL] now please"] * 2
     assert bpe.stage(spark, docs, "").count() == 8 and bpe.stage(spark, docs.limit(0), "").count() == 0
     assert spare(docs, "rid", "x", "X") == ["rid__", "x", "X_"]
+
+
+def test_licences_with_rare_words_elsewhere(spark):
+    notice = licences.TEMPLATES["mit-text"]
+    gone = notice.replace("noninfringement", "quiet use")
+    texts = [
+        notice, gone, gone + ". unrelated talk of noninfringement here", "sublicense noninfringement merchantability " + gone,
+        "merge publish distribute sublicense and sell. " + gone, notice.replace("merge publish", "merge print"),
+        licences.TEMPLATES["zlib-text"].replace("freely", "often") + " freely given", "talk of noninfringement", "",
+    ]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert sorted(i for i in got if "mit-text" in got[i]) == [0, 1, 2, 3, 4]
+    assert [i for i in got if "zlib-text" in got[i]] == [6]
+
+
+@pytest.mark.parametrize("names, kept", [
+    ("class='share price'", True), ("class='related work'", True), ("id=comment-on-law", True), ("class='social history'", True), ("class='ad'", False),
+    ("class='share-buttons'", False), ("id='related_posts_3'", False), ("class='comments list'", False), ("role=navigation", False), ("class=text", True),
+])
+def test_html_names_of_parts_and_subjects(names, kept):
+    page = f"<main><h1>T</h1><div {names}><p>The share price rose.</p></div><p class='related work'>Earlier studies</p></main>"
+    assert html.extract(page) == "\n".join(["T", *["The share price rose."] * kept, "Earlier studies"])
+
+
+def test_html_of_the_given_pages(spark):
+    """The pages' generator puts the article's heading and paragraphs, split by break elements, in `article`; adverts inside are `ad`."""
+    want = {}
+    for r in html.table(spark, "/root/testdata/sf0.001", "pages").collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        inner = re.sub(r"<div class=\"ad\">.*?</div>", "", inner, flags=re.S)
+        parts = [re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", b) for b in re.split(r"</?(?:p|h1|div)\b[^>]*>", inner)]
+        want[r["page_id"]] = "\n".join(t for t in (re.sub(r"\s+", " ", entities.unescape(b)).strip() for b in parts) if t)
+    got = {r["page_id"]: r["text"] for r in html.op8_html(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
