@@ -138,9 +138,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("\\r\\n|[\\r\\n]|[ \\u00a0]+|[^ \\u00a0\\r\\n]+"), F.lit(0))
 
 
+# Fixed value: the characters of WinAnsi, as a class.
+WIN_ANSI = "\\t\\n\\r\\x20-\\x7E\\x{A0}-\\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+
+
 def unencodable(text: Column) -> Column:
-    """Characters outside Latin-1, each of which a Latin-1 output shows as '?'."""
-    return F.length(text) - F.length(F.regexp_replace(text, "[^\\x00-\\x{FF}]", ""))
+    """Characters that WinAnsi has none of, each of which such an output shows as '?'; tabs and breaks are no characters."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[^{WIN_ANSI}]", ""))
 
 
 def parse_color(text: Column) -> Column:
@@ -268,7 +272,7 @@ def _texts(spark, sf_dir):
 @query(f"""SELECT doc_id, replace(replace(replace(replace(regexp_replace(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS xml,
 regexp_replace(replace(t, chr(9), ' '), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', '', 'g') AS plain,
 trim(regexp_replace(t, '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g')) AS norm, sha256(t) AS hash,
-CAST(length(t) - length(regexp_replace(t, '[^\\x00-\\x{{FF}}]', '', 'g')) AS BIGINT) AS unencodable FROM ({_TEXTS})""")
+CAST(length(t) - length(regexp_replace(t, '[^{WIN_ANSI}]', '', 'g')) AS BIGINT) AS unencodable FROM ({_TEXTS})""")
 def i14_cleaned(spark, sf_dir):
     """I14, I15, I17, I19, I23 on texts with controls."""
     t = F.col("t")

@@ -26,11 +26,11 @@ def e6_corpus_totals(spark, sf_dir):
     return rows.agg(F.count("*").alias("files"), F.count_if(F.col("outcome") == "failed").alias("failed")).join(first, F.lit(True))
 
 
-@query("SELECT user_id AS doc, event_type AS code, event_id % 4 AS page, count(*) AS n, arg_min('at ' || CAST(value AS VARCHAR), event_id) IS NOT NULL AS told, min(event_id) AS first FROM events GROUP BY ALL")
+@query("SELECT user_id AS doc, event_type AS code, event_id % 4 AS page, count(*) AS n, arg_min(props, event_id) AS message, min(event_id) AS first FROM events GROUP BY ALL")
 def e7_warning_fold(spark, sf_dir):
     """Warnings of one code and page fold to a count and the first message."""
     rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc"), F.col("event_type").alias("code"), (F.col("event_id") % 4).alias("page"))
-    return rows.agg(F.count("*").alias("n"), F.min_by(F.concat(F.lit("at "), "value"), "event_id").isNotNull().alias("told"), F.min("event_id").alias("first"))
+    return rows.agg(F.count("*").alias("n"), F.min_by("props", "event_id").alias("message"), F.min("event_id").alias("first"))
 
 
 @query("SELECT event_type AS code, event_id % 4 AS page, props AS message, count(*) AS n FROM events GROUP BY ALL")

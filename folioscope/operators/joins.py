@@ -19,20 +19,21 @@ def _pairs(spark, rows, schema):
 
 
 _EVENTS = "CASE WHEN turn % 4 = 1 THEN 'style' WHEN turn % 4 = 3 AND conv_id % 2 = 0 THEN 'page' ELSE 'draw' END"
+_STYLE = "CASE WHEN (turn + conv_id) % 3 <> 0 THEN length(text) END"  # some styles are empty, and replace the one before
 
 
-@query(f"""WITH e AS (SELECT conv_id, turn, {_EVENTS} AS t, length(text) AS v FROM conversations),
+@query(f"""WITH e AS (SELECT conv_id, turn, {_EVENTS} AS t, {_STYLE} AS v FROM conversations),
 g AS (SELECT *, count(*) FILTER (WHERE t <> 'style') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp FROM e),
 l AS (SELECT *, max(CASE WHEN t = 'style' THEN turn END) OVER (PARTITION BY conv_id, grp ORDER BY turn ROWS UNBOUNDED PRECEDING) AS s FROM g)
-SELECT l.conv_id, l.turn, coalesce(e.v, -1) AS style FROM l LEFT JOIN e ON e.conv_id = l.conv_id AND e.turn = l.s WHERE l.t = 'draw'""")
+SELECT l.conv_id, l.turn, l.s IS NOT NULL AS styled, coalesce(e.v, -1) AS style FROM l LEFT JOIN e ON e.conv_id = l.conv_id AND e.turn = l.s WHERE l.t = 'draw'""")
 def d1_style_latch(spark, sf_dir):
-    """The last style goes to the next drawing and is used up; a page's end clears it. Windows only, no join."""
+    """The last style, empty or not, goes to the next drawing and is used up; a page's end clears it. Windows only, no join."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_EVENTS).alias("t"), F.length("text").alias("v"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_EVENTS).alias("t"), F.struct(F.expr(_STYLE).alias("v")).alias("v"))
     rows = rows.withColumn("grp", F.count_if(F.col("t") != "style").over(w))
     latch = Window.partitionBy("conv_id", "grp").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("s", F.last(F.when(F.col("t") == "style", F.col("v")), ignorenulls=True).over(latch))
-    return rows.filter("t = 'draw'").select("conv_id", "turn", F.coalesce("s", F.lit(-1)).alias("style"))
+    return rows.filter("t = 'draw'").select("conv_id", "turn", F.col("s").isNotNull().alias("styled"), F.coalesce("s.v", F.lit(-1)).alias("style"))
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'MISSING_ASSET' ELSE 'q' || max(l.quality) END AS asset FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.doc_id, l.doc_id""")
@@ -218,12 +219,19 @@ def d13_baseline_compare(spark, sf_dir):
 
 
 _CELLS = """cell AS (SELECT l_suppkey AS tab, l_orderkey * 10 + l_linenumber AS id, min(l_partkey % 6) AS r, min(CAST(l_quantity AS INT) % 5) AS c, min(l_linenumber % 3 + 1) AS rs, min(l_orderkey % 2 + 1) AS cs FROM lineitem GROUP BY ALL),
-spot AS (SELECT tab, id, r, c, r + dr AS row, c + dc AS col, CASE WHEN dr = 0 AND dc = 0 THEN 0 ELSE 1 END AS late FROM cell, (SELECT unnest(range(3)) AS dr), (SELECT unnest(range(2)) AS dc) WHERE dr < rs AND dc < cs AND c + dc < 5 AND r + dr < 6),
+anchor AS (SELECT * FROM cell WHERE c BETWEEN 0 AND 4 AND r BETWEEN 0 AND 5 QUALIFY row_number() OVER (PARTITION BY tab, r, c ORDER BY id) = 1),
+spot AS (SELECT tab, id, r, c, r + dr AS row, c + dc AS col, CASE WHEN dr = 0 AND dc = 0 THEN 0 ELSE 1 END AS late FROM anchor, (SELECT unnest(range(3)) AS dr), (SELECT unnest(range(2)) AS dc) WHERE dr < rs AND dc < cs AND c + dc < 5 AND r + dr < 6),
 own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tab, row, col ORDER BY late, id) AS k FROM spot) WHERE k = 1)"""
 
 
 def span_cover(cells, rows: int, columns: int):
-    """cells(tab, id, r, c, rs, cs) to the grid places each owns: anchors first, then spans in order."""
+    """cells(tab, id, r, c, rs, cs) to the grid places each owns: anchors first, then spans in order.
+
+    Of several cells at one place the first by id is there, the others are dropped with their spans, as are those off the
+    grid; spans below one count as one.
+    """
+    cells = cells.filter(F.col("r").between(0, rows - 1) & F.col("c").between(0, columns - 1)).groupBy("tab", "r", "c").agg(F.min(F.struct("id", "rs", "cs")).alias("o"))
+    cells = cells.select("tab", "r", "c", "o.id", F.greatest(F.lit(1), "o.rs").alias("rs"), F.greatest(F.lit(1), "o.cs").alias("cs"))
     dr, dc = F.explode(F.expr("sequence(0, rs - 1)")), F.explode(F.expr("sequence(0, cs - 1)"))
     spots = cells.select("*", dr.alias("dr")).select("*", dc.alias("dc"))
     spots = spots.select("tab", "id", "r", "c", (F.col("r") + F.col("dr")).alias("row"), (F.col("c") + F.col("dc")).alias("col"), ((F.col("dr") > 0) | (F.col("dc") > 0)).cast("int").alias("late"))

@@ -18,7 +18,7 @@ def files(spark: SparkSession, path: str, pattern: str = "*.[pP][uU][bB]") -> Da
     """A1: path, length and time of every file below ``path`` whose name fits, sidecars (A2) left out; contents unread."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    return found.select("path", "length", "modificationTime").filter(~name.rlike(r"^(~\$|\._)")).orderBy("path")
+    return found.select("path", "length", "modificationTime").filter(~name.rlike(SIDECAR)).orderBy("path")
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
@@ -93,11 +93,16 @@ def snapshot(signatures: DataFrame, path: str, run_id: str) -> None:
     signatures.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
-@query("""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages WHERE NOT regexp_matches(regexp_extract(url, '([^/]*)$', 1), '^(1|2)')""")
+SIDECAR = r"^(~\$|\._)"  # fixed value
+_NAMES = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN '~$' WHEN 1 THEN '._' WHEN 2 THEN '~' WHEN 3 THEN '.' ELSE '' END || regexp_extract(url, '([^/]*)$', 1) AS name FROM pages"
+
+
+@query(f"SELECT * FROM ({_NAMES}) WHERE NOT regexp_matches(name, '{SIDECAR}')")
 def a2_sidecars(spark, sf_dir):
-    """A2 on page names: those with the mark of a sidecar (here a first digit 1 or 2) are left out."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "([^/]*)$", 1).alias("name"))
-    return rows.filter(~F.col("name").rlike("^(1|2)"))
+    """A2 on page names, some of which get the marks of sidecars and some nearly so."""
+    mark = F.element_at(F.array(*map(F.lit, ("~$", "._", "~", ".", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(mark, F.regexp_extract("url", "([^/]*)$", 1)).alias("name"))
+    return rows.filter(~F.col("name").rlike(SIDECAR))
 
 
 @query("SELECT doc_id, 'attention' AS kind, 'not in the labels' AS reason FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")

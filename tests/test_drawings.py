@@ -139,3 +139,21 @@ def test_comparison_and_baseline(spark, tmp_path):
     assert {r["id"]: r["status"] for r in status.collect()} == {0: "unchanged", 1: "CHANGED", 2: "missing", 3: "new"}
     assert tuple(drawings.passes(status).first()) == (1, 1, 1, 1, False)
     assert drawings.passes(drawings.against_baseline(held, held, "id")).first()["pass"]
+
+
+def test_a_taken_place_drops_the_cell_and_its_span(spark):
+    from folioscope.operators import joins
+
+    cells = [(1, 1, 0, 0, 1, 1), (1, 2, 0, 0, 1, 3), (1, 3, 1, 1, 2, 2), (1, 4, 1, 2, 1, 1), (1, 5, 0, 9, 1, 1), (1, 6, 2, 0, 0, 5)]
+    df = spark.createDataFrame(cells, "tab int, id int, r int, c int, rs int, cs int")
+    got = {(r["row"], r["col"]): r["id"] for r in joins.span_cover(df, 3, 4).collect()}
+    assert got == {(0, 0): 1, (1, 1): 3, (1, 2): 4, (2, 1): 3, (2, 2): 3, (2, 0): 6, (2, 3): 6}
+
+
+def test_references_and_encoding(spark):
+    from folioscope.functions import scalars
+
+    rows = [("&#38;lt;", "&lt;", 0), ("&amp;#65;&lt;", "&#65;<", 0), ("€\x85•\t\n", "€\x85•\t\n", 1), ("Ā\U0001f600é\x01", "Ā\U0001f600é\x01", 3)]
+    df = spark.createDataFrame(rows, "t string, want string, lost int")
+    assert df.filter(scalars.decode_entities(F.col("t")) != F.col("want")).count() == 0
+    assert df.filter(scalars.unencodable(F.col("t")) != F.col("lost")).count() == 0
