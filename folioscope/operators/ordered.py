@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -65,15 +68,26 @@ def f8_cells(spark, sf_dir):
     )
 
 
+def folded(name: Column) -> Column:
+    """A name as file systems compare it: composed, then in lower case. Spark has no normal forms, so Arrow batches do it."""
+
+    def fold(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", n).lower())
+
+    return F.pandas_udf(fold, "string")(name)
+
+
 def claim_names(files: DataFrame) -> DataFrame:
-    """files(source, folder, stem) to names that never collide: the n-th claim of a folded stem takes ` (n)`.
+    """files(source, folder, stem) to names that never collide: the n-th claim of a folded stem takes ` (n)`. Folded is composed
+    (NFC) and in lower case, so that a letter and the same letter with its accent apart meet.
 
     A name that some stem has by itself is left to it: claims are numbered past the numbers taken so. Groups are the
     folded stems without a trailing ` (n)`, so only names that can meet share a task; each group is one folder's.
     """
-    key = F.lower("stem")
+    files = files.withColumn("key", folded(F.col("stem")))
+    key = F.col("key")
     base, number = F.regexp_replace(key, " \\([0-9]+\\)$", ""), F.regexp_extract(key, " \\(([0-9]+)\\)$", 1)
-    rows = files.select("*", base.alias("base"), F.when(number == "", 1).otherwise(number.cast("int")).alias("own"))
+    rows = files.select("*", base.alias("base"), F.when(number == "", 1).otherwise(number.cast("int")).alias("own")).drop("key")
     first = Window.partitionBy("folder", "base", "own").orderBy("source")
     rows = rows.withColumn("turn", F.row_number().over(first))
     kept = rows.filter("turn = 1").select("source", "folder", F.col("stem").alias("name"))
@@ -86,14 +100,17 @@ def claim_names(files: DataFrame) -> DataFrame:
     return kept.unionByName(late.select("source", "folder", name.alias("name")))
 
 
-_NAMES = "SELECT c_custkey AS source, c_nationkey AS folder, CASE WHEN c_custkey % 4 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS stem FROM customer"
+_NAMES = """SELECT c_custkey AS source, c_nationkey AS folder, CASE WHEN c_custkey % 4 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END
+|| CASE c_custkey % 5 WHEN 0 THEN 'é' WHEN 1 THEN 'e' || chr(769) WHEN 2 THEN 'É' ELSE '' END AS stem FROM customer"""
 
 
-@query(f"""WITH f AS ({_NAMES}), n AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(stem) ORDER BY source) AS k FROM f)
+@query(f"""WITH f AS ({_NAMES}), n AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(nfc_normalize(stem)) ORDER BY source) AS k FROM f)
 SELECT source, folder, CASE WHEN k = 1 THEN stem ELSE stem || ' (' || k || ')' END AS name FROM n""")
 def f10_names(spark, sf_dir):
     """F10 on customers; stems that bring their own number are tested apart."""
     stem = F.when(F.col("c_custkey") % 4 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    mark = F.element_at(F.array(*map(F.lit, ("\u00e9", "e\u0301", "\u00c9", "", ""))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    stem = F.concat(stem, mark)
     return claim_names(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), F.col("c_nationkey").alias("folder"), stem.alias("stem")))
 
 

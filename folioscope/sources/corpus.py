@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import csv_cell
-from folioscope.operators.ordered import claim_names
+from folioscope.operators.ordered import claim_names, folded
 from folioscope.operators.reference import OUTCOME
 from folioscope.plans.catalog import query, table, written
 
@@ -36,7 +36,7 @@ def planned(files: DataFrame, existing: DataFrame, policy: Column) -> DataFrame:
     that occur once, never null; the policy is one per folder.
     """
     at = F.struct("folder", "ext").alias("folder")
-    key = F.lower("stem").alias("key")
+    key = folded(F.col("stem")).alias("key")
     files = files.withColumn("policy", policy)
     held = existing.select(at, key).distinct().withColumn("held", F.lit(True))
     asked = files.select("source", at, "stem", key, "policy").join(held, ["folder", "key"], "left")
@@ -76,7 +76,7 @@ def write_outputs(files: DataFrame, existing: DataFrame, policy: Column, root: s
 _STEMS = "SELECT c_custkey AS source, c_nationkey AS folder, CASE WHEN c_custkey % 4 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS stem FROM customer"
 
 
-@query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(stem) ORDER BY source) AS k, folder % 2 = 0 AS held FROM ({_STEMS})),
+@query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(nfc_normalize(stem)) ORDER BY source) AS k, folder % 2 = 0 AS held FROM ({_STEMS})),
 n AS (SELECT *, k + CASE WHEN held AND folder % 3 = 0 THEN 1 ELSE 0 END AS n FROM f)
 SELECT source, folder, CASE WHEN n = 1 THEN stem ELSE stem || ' (' || n || ')' END || '.docx' AS name, CASE WHEN held AND folder % 3 = 1 AND k = 1 THEN 'skip' ELSE 'write' END AS action, n > 1 AS renamed FROM n""")
 def a11_output_plan(spark, sf_dir):

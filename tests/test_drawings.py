@@ -157,3 +157,23 @@ def test_references_and_encoding(spark):
     df = spark.createDataFrame(rows, "t string, want string, lost int")
     assert df.filter(scalars.decode_entities(F.col("t")) != F.col("want")).count() == 0
     assert df.filter(scalars.unencodable(F.col("t")) != F.col("lost")).count() == 0
+
+
+def test_charsets_by_label(spark):
+    from folioscope.functions import charsets
+
+    rows = [
+        (b"\x80\x81a\xe9", "WINDOWS 1252", "€\x81aé"), (b"\x80\xe9", None, "€é"), (b"\x80\xe9", "nonsense", "€é"), (b"\xe9\x80", "windows_1251", "йЂ"),
+        (b"\xb9\x9c", "windows-1250", "ąś"), (b"\xb1", "ISO-8859-2", "ą"), (b"\x80\xff", "Latin1", "\x80ÿ"), (b"a\x00\xac\x20\x00", "UTF-16LE", "a€�"),
+        (b"\x82\xa0\x82", "Shift_JIS", "あ�"), (b"\xc4\xe3\x81", "GBK", "你�"), (b"\xa7A", "big5", "你"), (b"\x94\x39\xda\x33", "gb18030", "💩"), (None, "gbk", None), (b"", "gbk", ""),
+    ]
+    df = spark.createDataFrame([(bytearray(b) if b is not None else None, n, w) for b, n, w in rows], "b binary, label string, want string")
+    assert [r["got"] for r in df.select(charsets.decoded(F.col("b"), F.col("label")).alias("got")).collect()] == [w for _, _, w in rows]
+
+
+def test_composed_and_decomposed_names_collide(spark):
+    from folioscope.operators import ordered
+
+    rows = [(1, "d", "Café"), (2, "d", "café"), (3, "d", "CAFÉ (2)"), (4, "e", "café"), (5, "d", "cafe")]
+    got = {r["source"]: r["name"] for r in ordered.claim_names(spark.createDataFrame(rows, "source int, folder string, stem string")).collect()}
+    assert got == {1: "Café", 2: "café (3)", 3: "CAFÉ (2)", 4: "café", 5: "cafe"}
