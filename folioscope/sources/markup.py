@@ -314,10 +314,11 @@ SELECT page_id, floor((text_sim * 3 + element_sim * 3) / 6 * 10000 + 0.5) / 1000
 CASE WHEN (ap = 0) <> (bp = 0) OR (al = 0) <> (bl = 0) OR la <> lb THEN 'major' WHEN ap <> bp OR al <> bl OR ab <> bb OR NOT same THEN 'minor' ELSE 'match' END AS verdict FROM s""")
 def d14_signature_compare(spark, sf_dir):
     """Each page's signature against the next one's, by text and elements."""
-    sig = signatures(table(spark, sf_dir, "pages"))
-    a = sig.select("page_id", F.col("p").alias("ap"), F.col("li").alias("al"), F.col("br").alias("ab"), F.col("text").alias("ta"))
-    b = sig.select((F.col("page_id") - 1).alias("page_id"), F.col("p").alias("bp"), F.col("li").alias("bl"), F.col("br").alias("bb"), F.col("text").alias("tb"))
-    rows = a.join(b, "page_id").withColumns({"la": F.length("ta"), "lb": F.length("tb"), "same": F.col("ta") == F.col("tb")})
+    # Lengths and digests cross the join, not texts.
+    sig = signatures(table(spark, sf_dir, "pages")).withColumns({"chars": F.length("text"), "text": F.sha2("text", 256)})
+    a = sig.select("page_id", F.col("p").alias("ap"), F.col("li").alias("al"), F.col("br").alias("ab"), F.col("chars").alias("la"), F.col("text").alias("ta"))
+    b = sig.select((F.col("page_id") - 1).alias("page_id"), F.col("p").alias("bp"), F.col("li").alias("bl"), F.col("br").alias("bb"), F.col("chars").alias("lb"), F.col("text").alias("tb"))
+    rows = a.join(b, "page_id").withColumn("same", F.col("ta") == F.col("tb"))
     return rows.selectExpr(
         "page_id",
         """floor((CASE WHEN same THEN 1.0D ELSE least(la, lb) * 1.0D / greatest(la, lb, 1) END * 3 +
