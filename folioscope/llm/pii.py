@@ -97,15 +97,14 @@ def disclosing(rows: DataFrame, base: DataFrame, contexts: int, share: float) ->
     total = max(rows.count(), 1)
     # told >= share * information is p(e | t) >= p(e) ** (1 - share): n of all.
     sizes = sizes.withColumn("least", F.pow(F.col("of") / F.lit(total), F.lit(1 - share)))
-    sizes = written(sizes)
     counts = rows.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("all"))
-    counts = written(counts.filter(F.col("all") >= contexts))
+    counts = counts.filter(F.col("all") >= contexts)
     held = written(entities.join(sizes, "entity"))
     near = own.join(counts, "term").join(held, "_rid").filter(F.col("least") * F.col("all") <= F.col("of"))
     pairs = near.groupBy("term", "entity", "c", "least", "all").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("term", "entity", "least", "all").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
     strong = pairs.filter((F.col("contexts") >= contexts) & (F.col("n") >= F.col("least") * F.col("all")))
-    strong = written(strong.select("term", "entity"))
+    strong = strong.select("term", "entity")
     cut = own.select("_rid", "term").join(strong, "term").join(held.select("_rid", "entity"), ["_rid", "entity"])
     cut = written(cut.select("_rid", "term").distinct())
     # Places of every word of the texts that lose one, by running sums as for base spans.
