@@ -177,3 +177,38 @@ def test_composed_and_decomposed_names_collide(spark):
     rows = [(1, "d", "Café"), (2, "d", "café"), (3, "d", "CAFÉ (2)"), (4, "e", "café"), (5, "d", "cafe")]
     got = {r["source"]: r["name"] for r in ordered.claim_names(spark.createDataFrame(rows, "source int, folder string, stem string")).collect()}
     assert got == {1: "Café", 2: "café (3)", 3: "CAFÉ (2)", 4: "café", 5: "cafe"}
+
+
+def test_formats(spark):
+    import json
+
+    from folioscope.operators import formats
+
+    pt = lambda v, u="pt": {"v": v, "u": u}
+    rows = [
+        {"style:font-name": "", "fo:font-size": pt(0.138889, "in"), "fo:font-weight": "bold", "style:text-position": "-33% 58%", "fo:text-scale": pt(80, "%"), "fo:language": "en", "style:font-relief": "none"},
+        {"fo:font-size": "12pt", "fo:font-weight": pt(1), "fo:country": "GB", "style:text-underline-style": "none", "fo:text-shadow": "none", "fo:text-scale": pt(100, "%")},
+        {"fo:text-align": "end", "fo:line-height": pt(115, "%"), "fo:margin-top": pt(0), "fo:margin-left": pt(-30, "twip"), "fo:text-indent": pt(1, "%")},
+        {"draw:fill": "gradient", "svg:linearGradient": [{"svg:stop-color": "#1"}, {"svg:offset": pt(0.2, "%")}, {"svg:stop-color": "#2", "svg:stop-opacity": pt(0.5, "%")}], "draw:opacity": pt(1, "%")},
+        {"draw:fill": "gradient", "svg:linearGradient": [{"svg:stop-color": "#1"}], "draw:shadow": "visible", "draw:stroke": "dash", "draw:dots1": pt(2, ""), "draw:dots1-length": pt(3), "draw:distance": pt(1)},
+        {"draw:fill": "bitmap", "draw:fill-image": "x", "librevenge:mime-type": "image/emf", "draw:opacity": pt(0.5, "%")},
+        {}, None, [],
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "id int, j string").select("id", F.parse_json("j").alias("p"))
+    df = df.select("id", formats.opened_map("p").alias("m"))
+    run = {r["id"]: {k: v for k, v in r["f"].asDict().items() if v is not None} for r in df.select("id", formats.run_format("m").alias("f")).collect()}
+    assert run[0] == {"size": 10.0, "bold": True, "baseline_shift": -33.0, "text_scale": 80.0, "lang": "en"}
+    assert run[1] == {"text_shadow": True} and run[6] == run[7] == run[8] == {}
+    para = df.select("id", formats.paragraph("m", F.when(F.col("id") == 2, "ordered"), F.lit(3)).alias("f")).filter("id = 2").first()["f"].asDict(True)
+    assert {k: v for k, v in para.items() if v is not None} == {"align": "right", "line_height": 1.15, "margin_left": -1.5, "list": {"type": "ordered", "level": 3}}
+    style = {r["id"]: (r["style"].asDict(True) if r["style"] else None, r["warnings"]) for r in formats.style(df, "m").collect()}
+    stops = style[3][0]["fill"]["stops"]
+    assert [tuple(x.values()) for x in stops] == [(0.0, "#1", None), (1.0, "#2", 0.5)] and style[3][0]["opacity"] is None and style[3][1] == []
+    four = style[4][0]
+    assert (four["fill"]["type"], four["fill"]["color"], four["stroke"], four["shadow"]) == ("solid", "#1", {"color": "#000000", "width": 1.0, "dash": [3.0, 1.0, 3.0, 1.0]}, None)
+    assert style[4][1] == ["GRADIENT_FLATTENED", "SHADOW_DROPPED"]
+    assert style[5][0]["fill"] is None and style[5][0]["opacity"] == 0.5 and style[5][1] == ["WMF_IMAGE_NOT_CONVERTED"]
+    assert style[6] == style[7] == style[8] == (None, [])
+    bad = [{"librevenge:path-action": "A", "svg:x": pt(1), "svg:y": pt(2), "svg:rx": pt(3), "svg:ry": pt(4), "librevenge:large-arc": pt(0)}, {"librevenge:path-action": "C", "svg:x": pt(1), "svg:y": pt(1)}, {"librevenge:path-action": "Z"}]
+    got = spark.createDataFrame([(json.dumps({"svg:d": bad}),)], "j string").select(F.parse_json("j").alias("p")).select(formats.opened_map("p").alias("m")).select(formats.path_commands("m").alias("c")).first()["c"]
+    assert [(c["op"], c["large_arc"], c["sweep"], c["rotation"]) for c in got] == [("A", False, True, 0.0), ("Z", None, None, None)]
