@@ -113,11 +113,11 @@ FROM ink p LEFT JOIN ink q ON q.img = p.img AND q.side <> p.side AND q.x BETWEEN
 near AS (SELECT img, side, x, y, min(d) AS near, min(d) FILTER (WHERE dot > 0 AND dot >= {LIKE} * sqrt(pp * qq)) AS radius FROM pairs GROUP BY ALL)"""
 
 
-@query(f"WITH {_SQL} SELECT img, side, x, y, CAST(near AS INT) AS near, CAST(radius AS INT) AS radius FROM near")
+@query(f"WITH {_SQL} SELECT img, side, x, y, CAST(coalesce(near, 9) AS INT) AS near, CAST(coalesce(radius, 9) AS INT) AS radius FROM near")
 def d6_ink_radii(spark, sf_dir):
-    """D6 by D7: each mark's distance to the other picture's marks, and to those of like colour, both ways."""
+    """D6 by D7: each mark's distance to the other picture's marks, and to those of like colour, both ways; 9 where there is none."""
     pixels, _ = _pictures(spark, sf_dir)
-    return radii(pixels.filter(is_ink(F.col("r"), F.col("g"), F.col("b"))))
+    return radii(pixels.filter(is_ink(F.col("r"), F.col("g"), F.col("b")))).fillna(9)
 
 
 _SHARE = lambda v: f"floor(({v}) / (w * h) * 10000 + 0.5) / 10000"

@@ -120,17 +120,17 @@ CASE kind WHEN 'measure' THEN CAST(json_extract_string(v, '$.v') AS DOUBLE) WHEN
 CASE WHEN kind = 'vector' THEN CAST(json_array_length(v) AS INT) END AS items FROM flat)"""
 
 
-@query(f"WITH {_SQL} SELECT file, CAST(pos AS INT) AS pos, t, s, CAST(len(json_keys(p)) AS INT) AS properties FROM ev")
+@query(f"WITH {_SQL} SELECT file, CAST(pos AS INT) AS pos, t, s, coalesce(CAST(len(json_keys(p)) AS INT), -1) AS properties FROM ev")
 def a5_ordered_events(spark, sf_dir):
-    """A5: the events of every user's envelope, in order."""
+    """A5: the events of every user's envelope, in order; -1 properties where there is no map of them."""
     n = F.size(F.map_keys(F.try_variant_get("p", "$", "map<string,variant>")))
-    return exploded(_files(spark, sf_dir), "file", "envelope").select("file", "pos", "t", "s", F.when(F.col("p").isNotNull(), n).alias("properties"))
+    return exploded(_files(spark, sf_dir), "file", "envelope").select("file", "pos", "t", "s", F.coalesce(F.when(F.col("p").isNotNull(), n), F.lit(-1)).alias("properties"))
 
 
-@query(f"WITH RECURSIVE {_SQL_FLAT} SELECT file, CAST(pos AS INT) AS pos, t, key, kind, unit, value, text, items FROM props")
+@query(f"WITH RECURSIVE {_SQL_FLAT} SELECT file, CAST(pos AS INT) AS pos, t, key, kind, unit, value, text, coalesce(items, -1) AS items FROM props")
 def a6_properties(spark, sf_dir):
-    """Every property of every event, the vectors' objects taken apart to any depth."""
-    return properties(exploded(_files(spark, sf_dir), "file", "envelope"), "file", "pos")
+    """Every property of every event, the vectors' objects taken apart to any depth; -1 items where there is no vector."""
+    return properties(exploded(_files(spark, sf_dir), "file", "envelope"), "file", "pos").fillna(-1, ["items"])
 
 
 def _said(m: str) -> Column:

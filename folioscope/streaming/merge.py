@@ -175,14 +175,14 @@ def _half(content: str) -> str:
     return str(len(content) // 2)
 
 
-@query("""SELECT doc_id AS source, CASE WHEN length(text) % 7 <> 0 THEN CAST(length(text) // 2 AS VARCHAR) END AS result, CASE WHEN length(text) % 7 = 0 THEN 3 END AS tries,
+@query("""SELECT doc_id AS source, CASE WHEN length(text) % 7 <> 0 THEN CAST(length(text) // 2 AS VARCHAR) END AS result, CASE WHEN length(text) % 7 = 0 THEN 3 ELSE 0 END AS tries,
 CASE WHEN length(text) % 7 = 0 THEN 'ValueError: odd length' END AS error FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL""")
 def j11_retry(spark, sf_dir):
     """Every document worked on until it has a result or has failed three times; five batches, the second replayed."""
     folder = scratch(spark)
     manifest = table(spark, sf_dir, "documents").filter("text is not null and doc_id is not null").select(F.col("doc_id").alias("source"), F.col("text").alias("content"))
     _replayed(spark, attempt(folder, _half, partial(_same, manifest)), [manifest] * 5)
-    return results(spark, folder).join(failed(spark, folder), "source", "full").select("source", "result", "tries", "error")
+    return results(spark, folder).join(failed(spark, folder), "source", "full").select("source", "result", F.coalesce("tries", F.lit(0)).alias("tries"), "error")
 
 
 def _same(df: DataFrame, _: SparkSession) -> DataFrame:
