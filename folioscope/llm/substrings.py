@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import only, table, written
 
@@ -227,10 +228,12 @@ def factors(rows: DataFrame) -> DataFrame:
     asked = settled.filter(F.col("kind") == PLACE).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "n")).alias("asked"))
     again = rows.join(asked, ["doc", "row"]).select("doc", "row", "text", "asked")
     checked = written(again.mapInArrow(_check, _DDL))
-    places = parsed.filter(F.col("kind") == PLACE).union(checked.filter(F.col("kind") == PLACE))
-    source = places.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("s"), F.count("*").alias("k")).filter("k > 1")
-    later = places.join(source.drop("k"), ["a", "b"]).filter(F.struct("doc", "start") > F.col("s"))
-    settled = parsed.union(settled).union(checked).filter(F.col("kind") == FACTOR).union(later.select(parsed.columns))
+    places = parsed.filter(F.col("kind") == PLACE).union(checked.filter(F.col("kind") == PLACE)).select("a", "b", "doc", "row", "start")
+    # Places are dealt out once: in order, the first of a window is its earliest.
+    order = Window.partitionBy("a", "b").orderBy("doc", "start")
+    later = places.withColumn("first", F.first(F.struct("doc", "start")).over(order)).filter(F.struct("doc", "start") > F.col("first"))
+    runs = ["doc", "row", "start", "n"]
+    settled = parsed.union(settled).union(checked).filter(F.col("kind") == FACTOR).select(*runs).union(later.select("doc", "row", "start", F.lit(1).alias("n")))
     return settled.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "n")).alias("found"))
 
 

@@ -114,3 +114,15 @@ def test_html_of_the_given_pages(spark):
         want[r["page_id"]] = "\n".join(t for t in (re.sub(r"\s+", " ", entities.unescape(b)).strip() for b in parts) if t)
     got = {r["page_id"]: r["text"] for r in html.op8_html(spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+def test_places_are_dealt_out_once(spark, capsys):
+    from folioscope.llm import substrings
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(i, i, f"a{i} {text} b{i}") for i in range(3)], "doc long, row long, text string")
+    found = substrings.factors(rows)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("hashpartitioning(a#") == 1
+    assert {r["doc"]: sum(x["n"] for x in r["found"]) for r in found.collect()} == {1: 41, 2: 41}
