@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import only, table
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
+PAIRS = 250_000
 STRETCH = 1_000_000
 LONG = 48
 
@@ -101,7 +102,7 @@ class Codec:
             if known is None:
                 known = self.alone[token] = self.merged(self.bytes_of[token]) == [token]
             return known
-        if len(self.stands) > 1_000_000:
+        if len(self.stands) > PAIRS:
             self.stands.clear()
         known = self.stands[before, token] = self._apart(before, token)
         return known
@@ -197,6 +198,11 @@ class Codec:
                 if len(c) > LONG:
                     (chunks if known is fresh else cache).pop(c)
 
+    def forget(self) -> None:
+        """Empty the caches: a worker outlives its task, and what it keeps adds to the memory of every later stage."""
+        for held in (self.cache, self.chunks, self.stands, self.alone):
+            held.clear()
+
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.table.__getitem__, memoryview(packed).cast("I"))).decode("utf-8", "replace")
 
@@ -233,13 +239,18 @@ def tokenised(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -
     own = ["ids"] * keep_ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
 
     @F.pandas_udf("ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        c, rows = codec(path), []
-        for ids in c.encode(texts):
-            back = c.decode(ids).encode()
-            held = [np.frombuffer(ids, "<i4")] if keep_ids else []
-            rows.append((*held, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
-        return pd.DataFrame(rows, columns=own)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(path)
+        try:
+            for texts in batches:
+                rows = []
+                for ids in c.encode(texts):
+                    back = c.decode(ids).encode()
+                    held = [np.frombuffer(ids, "<i4")] if keep_ids else []
+                    rows.append((*held, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+                yield pd.DataFrame(rows, columns=own)
+        finally:
+            c.forget()
 
     return only(docs, "doc_id", "text").select("doc_id", of("text").alias("d")).select("doc_id", "d.*")
 

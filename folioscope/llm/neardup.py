@@ -1,11 +1,12 @@
 """Near-duplicates of the pipeline: five-word shingle sets linked at a Jaccard similarity of at least ``least``.
 
-A 64-bit fingerprint cannot hold that line: at 0.8 two fingerprints differ by some nine bits, and a radius that wide
-leaves pigeonhole keys of a few bits. Candidates come from MinHash bands instead (24 bands of 5: a pair at 0.8 shares
-a band with probability 0.9999), and every link is verified on the exact sets of shingle hashes.
+Candidates come from SimHash: the 64-bit fingerprints of the sets, linked by the vantage-point search of ``simhash`` at
+``RADIUS`` bits, which finds every such pair. At 0.8 two fingerprints differ by some nine bits, and a radius that wide
+leaves pigeonhole keys of a few bits; so what lies beyond the radius is found by MinHash bands besides (24 bands of 5: a
+pair at 0.8 shares a band with probability 0.9999). Every link is verified on the exact sets of shingle hashes.
 
-Equal sets collapse to one node. Nodes that share a band key are tied to the smallest of them, a star and no pairs;
-each connected piece of those ties is searched whole. A piece of up to ``weight`` shingles is one flood fill. A heavier
+Equal sets collapse to one node. Nodes of one fingerprint, and those that share a band key, are tied to the smallest of
+them, a star and no pairs; each connected piece of all ties is searched whole. A piece of up to ``weight`` shingles is one flood fill. A heavier
 one is first held against one pivot per piece; what the pivot links needs no comparison with its like, and only the
 rest meets all others, in cells of bounded weight.
 
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, written
-from .simhash import _FOLD, components
+from .simhash import _FOLD, _signed, components, links
 
-BANDS, ROWS = 24, 5
+BANDS, ROWS, RADIUS = 24, 5, 4
+SLICE = 500  # texts whose sets a worker holds at once
 _RNG = np.random.default_rng(11)
 _A = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -48,22 +50,36 @@ def bands(held: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes()) for b in low.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
 
 
+def majority(held: np.ndarray) -> int:
+    """SimHash of a set: the bits that over half of its hashes have, as a signed long."""
+    ones, step = np.zeros(64, np.int64), 1 << 14
+    for at in range(0, len(held), step):
+        ones += np.unpackbits(held[at : at + step].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return _signed(int.from_bytes(np.packbits(2 * ones > len(held)).tobytes(), "big"))
+
+
 def _name(held: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(held.tobytes())], np.uint64).view(np.int64)[0])
 
 
 def _sketch(texts: pd.Series) -> pd.DataFrame:
-    sets = [shingles(t) for t in texts]
-    return pd.DataFrame({"sid": [_name(s) for s in sets], "n": [len(s) for s in sets], "bands": [bands(s) for s in sets]})
+    rows = []
+    for t in texts:
+        held = shingles(t)
+        rows.append((_name(held), len(held), majority(held), bands(held)))
+    return pd.DataFrame(rows, columns=["sid", "n", "fp", "bands"])
 
 
 def _own_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shingle sets in place of texts. One doc_id can have several texts: the set must be the node's own."""
     for batch in batches:
-        sets = [shingles(t) for t in batch["text"]]
-        own = np.array([_name(s) for s in sets], np.int64) == batch["sid"].to_numpy()
-        batch["held"] = [s.tobytes() for s in sets]
-        yield batch[own].drop(columns="text")
+        for at in range(0, len(batch), SLICE):
+            part = batch.iloc[at : at + SLICE]
+            sets = [shingles(t) for t in part["text"]]
+            own = np.array([_name(s) for s in sets], np.int64) == part["sid"].to_numpy()
+            part = part.drop(columns="text")
+            part["held"] = [s.tobytes() for s in sets]
+            yield part[own]
 
 
 def _linker(least: float):
@@ -101,12 +117,20 @@ def _linker(least: float):
     return run
 
 
-def edges(docs: DataFrame, nodes: DataFrame, least: float, weight: int) -> DataFrame:
-    """Verified links (a, b) between the reps of ``nodes(sid, n, bands, rep)``."""
+def ties(nodes: DataFrame) -> DataFrame:
+    """Candidate links (a, b) between the sids of ``nodes(sid, fp, bands)``: by fingerprint, and by band beyond its radius."""
+    prints = written(nodes.groupBy("fp").agg(F.min("sid").alias("rep")))
+    near = links(prints, RADIUS).select("a", "b")
+    equal = nodes.select("sid", "fp").join(prints, "fp").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
     keys = nodes.select("sid", F.posexplode("bands").alias("band", "key"))
     groups = keys.groupBy("band", "key").agg(F.min("sid").alias("low"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    ties = keys.join(groups, ["band", "key"]).select(F.col("sid").alias("a"), F.col("low").alias("b")).filter("a <> b")
-    pieces = components(written(ties.distinct())).withColumnRenamed("id", "sid").withColumnRenamed("component", "piece")
+    far = keys.join(groups, ["band", "key"]).select(F.col("sid").alias("a"), F.col("low").alias("b"))
+    return near.union(equal).union(far).filter("a <> b").distinct()
+
+
+def edges(docs: DataFrame, nodes: DataFrame, least: float, weight: int) -> DataFrame:
+    """Verified links (a, b) between the reps of ``nodes(sid, n, fp, bands, rep)``."""
+    pieces = components(written(ties(nodes))).withColumnRenamed("id", "sid").withColumnRenamed("component", "piece")
     pieces = written(pieces.union(pieces.select(F.col("piece").alias("sid"), "piece").distinct()))
     heavy = nodes.join(pieces, "sid").select("sid", "n", "rep", "piece")
     sums = heavy.groupBy("piece").agg(F.ceil(F.sum("n") / F.lit(weight)).cast("int").alias("parts"))
@@ -148,10 +172,10 @@ def edges(docs: DataFrame, nodes: DataFrame, least: float, weight: int) -> DataF
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, weight: int = 1_000_000) -> DataFrame:
     """doc_id, component_id per row of ``docs``; component_id is the smallest doc_id of its links."""
-    sketch = F.pandas_udf(_sketch, "sid long, n long, bands array<long>")
+    sketch = F.pandas_udf(_sketch, "sid long, n long, fp long, bands array<long>")
     rows = written(only(docs, "doc_id", "text").withColumn("s", sketch("text")).select("doc_id", "s.*"))
     nodes = rows.filter("doc_id is not null").groupBy("sid").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")
     )
     nodes = written(nodes)
     # One doc_id with several texts is one node: its sets are linked through the smallest id of each.

@@ -126,3 +126,26 @@ def test_places_are_dealt_out_once(spark, capsys):
     plan = capsys.readouterr().out
     assert plan.count("hashpartitioning(a#") == 1
     assert {r["doc"]: sum(x["n"] for x in r["found"]) for r in found.collect()} == {1: 41, 2: 41}
+
+
+def test_a_worker_keeps_no_words_after_its_task(spark):
+    from folioscope.llm import bpe
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"some words {i} of a text") for i in range(50)], "doc_id long, text string").coalesce(1)
+    assert bpe.tokenised(docs).filter("n_tokens > 0").count() == 50
+    path = bpe.public_tokenizers.path("byte_bpe_50k.json")
+    held = F.udf(lambda _: sum(map(len, (lambda c: (c.cache, c.chunks, c.stands))(bpe.codec(path)))), "long")
+    assert spark.range(4).select(held("id").alias("n")).agg(F.max("n")).first()[0] == 0
+
+
+def test_near_dedup_ties_by_fingerprint(spark):
+    from folioscope.llm import neardup
+
+    apart = iter(range(10**6))
+    rows = [(1, 0b0), (2, 0b1111), (3, (1 << 40) - 1), (4, (1 << 40) - 1), (5, 0x5555555555555555)]  # no two share a band
+    nodes = spark.createDataFrame([(s, fp, [next(apart) for _ in range(neardup.BANDS)]) for s, fp in rows], "sid long, fp long, bands array<long>")
+    assert {frozenset(r) for r in neardup.ties(nodes).collect()} == {frozenset((1, 2)), frozenset((3, 4))}
+    texts = [" ".join(f"w{i + k}" for i in range(400)) for k in (0, 1, 1000)]
+    a, b, c = (neardup.majority(neardup.shingles(t)) & (2**64 - 1) for t in texts)
+    assert (a ^ b).bit_count() <= neardup.RADIUS < (a ^ c).bit_count()
