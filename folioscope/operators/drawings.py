@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from folioscope.functions.scalars import decode_entities
 from folioscope.operators.reports import compose
-from folioscope.plans.catalog import query, table, written
+from folioscope.plans.catalog import query, spread, table, written
 from folioscope.sources.markup import attribute, depths, innermost, markup
 
 # Path commands with their number of arguments, elements that draw, weights of a comparison.
@@ -183,19 +183,20 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     counts), text, chars, hash, bbox. Null and empty documents have empty maps and no box. Lengths count code points."""
     tags = written(opened(docs.select(key, F.coalesce(text, F.lit("")).alias(text)), key, text))
     opens, name = tags.filter("not closing"), F.col("name")
+    dealt = lambda df: spread(df, tags.count(), 100_000, key)
     none = lambda v: F.when(v != "none", v)
     facets = F.array(
         *[F.struct(F.lit(f).alias("facet"), v.alias("key")) for f, v in (
             ("elements", name), ("fills", none(_paint("attrs", "fill"))), ("strokes", none(_paint("attrs", "stroke"))), ("fonts", _paint("attrs", "font-family"))
         )]
     )
-    steps = path_steps(opens.filter(name == "path").select(key, "pos", attribute("attrs", "d").alias("d")), key, "pos")
+    steps = path_steps(dealt(opens.filter(name == "path").select(key, "pos", attribute("attrs", "d").alias("d"))), key, "pos")
     counts = opens.select(key, F.explode(facets).alias("f")).select(key, "f.facet", "f.key").filter("key is not null")
     counts = counts.unionByName(steps.select(key, F.lit("paths").alias("facet"), F.col("command").alias("key")))
     counts = counts.groupBy(key, "facet", "key").count()
     entries = lambda f: F.array_sort(F.collect_list(F.when(F.col("facet") == f, F.struct("key", "count"))))
     maps = counts.groupBy(key).agg(*[F.map_from_entries(entries(f)).alias(f) for f in FACETS])
-    ctm = placed(opens.select(key, "pos", "alone", "depth", attribute("attrs", "transform").alias("transform")), key)
+    ctm = placed(dealt(opens.select(key, "pos", "alone", "depth", attribute("attrs", "transform").alias("transform"))), key)
     points = opens.filter(name != "svg").select(key, "pos", F.explode(_shape_points(name)).alias("p"))
     points = points.unionByName(steps.select(key, "pos", F.explode("points").alias("p"))).join(ctm, [key, "pos"], "left")
     x, y, m = F.col("p.x"), F.col("p.y"), F.col("ctm")
@@ -340,9 +341,11 @@ def drawn_sql(v: int) -> str:
 
 def drawn(spark, sf_dir: str, v: int = 0) -> DataFrame:
     """doc, svg: one drawing of each customer's orders."""
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.expr(_drawn(v)).alias("s"))
-    rows = rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "s"))).alias("s"))
-    return rows.select(F.col("o_custkey").alias("doc"), F.concat(F.expr(_HEAD), F.array_join(F.transform("s", lambda x: x["s"]), ""), F.lit("</svg>")).alias("svg"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    # Only keys travel; texts, tags and steps are made where a customer's orders have met.
+    rows = spread(orders, orders.count(), 10_000, "o_custkey").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("s"))
+    shapes = F.array_join(F.expr(f"transform(s, o_orderkey -> {_drawn(v)})"), "")
+    return rows.select(F.col("o_custkey").alias("doc"), F.concat(F.expr(_HEAD), shapes, F.lit("</svg>")).alias("svg"))
 
 
 def _attr(name: str, raw: str = "raw") -> str:

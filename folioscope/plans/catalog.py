@@ -26,6 +26,12 @@ def query(sql: str | None):
     return add
 
 
+def spread(df: DataFrame, rows: int, each: int, *keys: str) -> DataFrame:
+    """``df`` of ``rows`` rows dealt out by ``keys``, about ``each`` of them to a task: for work that makes much of small rows, where
+    neither a table's few row groups nor the bytes of a shuffle tell how much a task will hold."""
+    return df.repartition(max(1, -(-rows // each)), *keys)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the cluster's shared checkpoint folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
