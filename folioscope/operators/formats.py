@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import to_degrees, to_fraction, to_int, to_multiplier, to_points
-from folioscope.plans.catalog import query, table
+from folioscope.plans.catalog import query, spread, table
 
 # Enumerations, colours of what brings none, picture types that no target shows.
 ALIGN = {"left": "left", "start": "left", "right": "right", "end": "right", "center": "center", "justify": "justify"}
@@ -204,7 +204,8 @@ _JSON = "concat('{', concat_ws(',', " + ", ".join(f"CASE WHEN {when} THEN {part}
 
 
 def _formats(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.try_parse_json(F.expr(_JSON)).alias("p"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
+    rows = spread(parts, parts.count(), 5_000, "p_partkey").select("p_partkey", F.try_parse_json(F.expr(_JSON)).alias("p"))
     return rows.select("p_partkey", opened_map("p").alias("m"))
 
 

@@ -23,3 +23,7 @@ def spark():
 
 def test_drawings_are_dealt_out_by_orders(spark):
     assert drawings.drawn(spark, SF).select("doc").rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/orders.parquet").count() // 10_000)
+
+
+def test_formats_are_dealt_out_by_parts(spark):
+    assert formats._formats(spark, SF).select("p_partkey").rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/part.parquet").count() // 5_000)
