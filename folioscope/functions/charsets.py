@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ CODECS = {
     "utf16le": "utf-16-le", "windows932": "cp932", "shiftjis": "cp932", "sjis": "cp932", "windows936": "gbk", "gbk": "gbk", "windows950": "cp950", "big5": "cp950", "gb18030": "gb18030",
 }
 FALLBACK = "windows1252"
+# The characters of single-byte pages; bytes a page has no character for are controls of the same number.
+PAGES = {c: "".join(bytes([x]).decode(c, "ignore") or chr(x) for x in range(256)) for c in set(CODECS.values()) if c.startswith("cp125")}
 
 
 def _decoded(data: pd.Series, labels: pd.Series) -> pd.Series:
@@ -22,12 +26,9 @@ def _decoded(data: pd.Series, labels: pd.Series) -> pd.Series:
         if b is None:
             return None
         codec = CODECS.get(label, CODECS[FALLBACK])
-        if not codec.startswith("cp125"):
-            return bytes(b).decode(codec, "replace")
-        try:
-            return bytes(b).decode(codec)
-        except UnicodeDecodeError:  # bytes the page has no character for are controls of the same number
-            return "".join(bytes([x]).decode(codec, "ignore") or chr(x) for x in bytes(b))
+        if codec in PAGES:
+            return codecs.charmap_decode(bytes(b), "strict", PAGES[codec])[0]
+        return bytes(b).decode(codec, "replace")
 
     return pd.Series([one(*x) for x in zip(data, labels, strict=True)], dtype=object)
 

@@ -27,3 +27,16 @@ def test_drawings_are_dealt_out_by_orders(spark):
 
 def test_formats_are_dealt_out_by_parts(spark):
     assert formats._formats(spark, SF).select("p_partkey").rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/part.parquet").count() // 5_000)
+
+
+def test_pages_with_undefined_bytes_are_read_at_once():
+    data = b"abc\x81\x80" * 1_000_000
+    start = time.perf_counter()
+    (text,) = charsets._decoded(pd.Series([data]), pd.Series(["windows1252"]))
+    assert time.perf_counter() - start < 0.5
+    assert text == "abc\x81€" * 1_000_000
+    for page in (c for c in set(charsets.CODECS.values()) if c.startswith("cp125")):
+        label = next(k for k, v in charsets.CODECS.items() if v == page)
+        for x in range(256):
+            (one,) = charsets._decoded(pd.Series([bytes([x])]), pd.Series([label]))
+            assert one == (bytes([x]).decode(page, "ignore") or chr(x))
