@@ -109,13 +109,19 @@ FROM a LEFT JOIN b ON b.img = a.img AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y
 def ink_neighbours(a, b, radius: int = 2):
     """Each pixel of a(img, x, y, c) with the smallest Chebyshev radius to one of ``b`` (any_r) and to a like one (r).
 
-    Pixels of ``b`` are copied to the (2 radius + 1)^2 places they can be near to, so the join is an equi-join.
+    Pixels meet in square cells of 2 radius + 1: one of ``a`` is in its own cell, one of ``b`` is copied to the at most four it can
+    be near to. A place has one cell, so what meets there is summed up there.
     """
-    steps = F.expr(f"sequence(-{radius}, {radius})")
-    near = b.select("img", "c", "x", "y", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy"))
-    near = near.select("img", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), F.col("c").alias("cb"), F.greatest(F.abs("dx"), F.abs("dy")).alias("d"))
-    found = a.join(near, ["img", "x", "y"], "left")
-    return found.groupBy("img", "x", "y").agg(F.min("d").alias("any_r"), F.min(F.when(F.col("c") == F.col("cb"), F.col("d"))).alias("r"))
+    cell = 2 * radius + 1
+    at = lambda c: F.floor(F.col(c) / cell)
+    reach = lambda c: F.explode(F.array_distinct(F.array(F.floor((F.col(c) - radius) / cell), F.floor((F.col(c) + radius) / cell))))
+    asks = a.select("img", "x", "y", "c", at("x").alias("cx"), at("y").alias("cy"))
+    there = b.select("img", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("c").alias("cb"))
+    there = there.select("*", reach("tx").alias("cx")).select("*", reach("ty").alias("cy"))
+    d = F.greatest(F.abs(F.col("x") - F.col("tx")), F.abs(F.col("y") - F.col("ty")))
+    met = asks.join(there, ["img", "cx", "cy"], "left").withColumn("d", F.when(d <= radius, d).cast("int"))
+    near = F.min("d").alias("any_r"), F.min(F.when(F.col("c") == F.col("cb"), F.col("d"))).alias("r")
+    return met.groupBy("img", "cx", "cy", "x", "y").agg(*near).drop("cx", "cy")
 
 
 def _ink(spark, sf_dir):

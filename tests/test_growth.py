@@ -40,3 +40,18 @@ def test_pages_with_undefined_bytes_are_read_at_once():
         for x in range(256):
             (one,) = charsets._decoded(pd.Series([bytes([x])]), pd.Series([label]))
             assert one == (bytes([x]).decode(page, "ignore") or chr(x))
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_pixels_meet_in_cells(spark, capsys, radius):
+    draw = random.Random(radius)
+    side = lambda: [(i, x, y, draw.randrange(3)) for i in range(2) for x in range(-6, 9) for y in range(-3, 8) if draw.random() < 0.1]
+    a, b = side(), side()
+    make = lambda rows: spark.createDataFrame(rows, "img int, x int, y int, c int")
+    found = joins.ink_neighbours(make(a), make(b), radius)
+    found.explain()
+    assert "sequence(" not in capsys.readouterr().out
+    far = lambda p, q: max(abs(p[1] - q[1]), abs(p[2] - q[2]))
+    low = lambda d: min((x for x in d if x <= radius), default=None)
+    want = {p[:3]: (low([far(p, q) for q in b if q[0] == p[0]]), low([far(p, q) for q in b if q[0] == p[0] and q[3] == p[3]])) for p in a}
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in found.collect()} == want
