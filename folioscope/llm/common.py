@@ -43,6 +43,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts both sides and broadcasts neither. Spark sizes an exploded table, and one read back from
+    Parquet, by the bytes of its files, which can be a hundredth of what its rows take in the driver."""
+    return df.hint("merge")
+
+
 def smallest(df: DataFrame, by: str, key: str, n: int, salts: int = 8) -> DataFrame:
     """The ``n`` rows of each ``by`` with the smallest ``key``; first per salt, so that no group meets whole in a task."""
     salt = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(salts))

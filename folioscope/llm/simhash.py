@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, UPPER, columns, only, spare, table, written
+from .common import LOWER, UPPER, columns, only, spare, table, unsent, written
 
 _TABLE = {ord(a): b for a, b in zip(UPPER, LOWER)}
 _SPLIT = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
@@ -205,7 +205,7 @@ def _midpoints(dense: DataFrame, masks: list[int], radius: int) -> DataFrame:
     # The flips are a constant of the radius and the blocks: some hundred per key.
     points = dense.join(F.broadcast(flips), "n").select("n", "rep", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     low = points.groupBy("n", "mid").agg(F.min("rep").alias("low"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    return points.join(low, ["n", "mid"]).filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    return unsent(points).join(low, ["n", "mid"]).filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
 
 
 def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 65_536) -> DataFrame:
@@ -216,7 +216,7 @@ def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 65_536) -> DataFr
     keyed = nodes.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("fp", "rep", "k.n", "k.bits")
     sizes = keyed.groupBy("n", "bits").agg(F.count("*").alias("size"), F.min("fp").alias("vantage"))
     sizes = sizes.filter("size > 1")
-    keyed = written(keyed.join(sizes, ["n", "bits"]))
+    keyed = written(unsent(keyed).join(sizes, ["n", "bits"]))
     ring = (F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))) / F.lit(radius + 1)).cast("int")
     shards = keyed.filter(F.col("size") <= shard_rows)
     shards = shards.select("fp", "rep", "n", "bits", F.explode(F.array(ring, ring + 1)).alias("ring"))
@@ -236,9 +236,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        star = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        star = unsent(both).join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = star.groupBy("a").agg(F.min("b").alias("m"))
-        star = star.join(low, "a")
+        star = unsent(star).join(low, "a")
         star = star.select("a", F.col("m").alias("b")).union(star.select(F.col("b").alias("a"), F.col("m").alias("b")))
         now = written(star.filter("a > b").distinct())
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -254,13 +254,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shard_rows: int = 65_536,
     nodes = rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     nodes = written(nodes)
     # One doc_id with several texts is one node: its fingerprints are linked through the smallest id of each.
-    same = rows.join(rows.groupBy("doc_id").agg(F.count_distinct("fp").alias("k")).filter("k > 1"), "doc_id")
-    bound = same.join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = unsent(rows).join(rows.groupBy("doc_id").agg(F.count_distinct("fp").alias("k")).filter("k > 1"), "doc_id")
+    bound = unsent(same).join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(written(links(nodes, radius, shard_rows).union(bound)))
     named = nodes.join(found, nodes.rep == found.id, "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return unsent(rows).join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
