@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, spare, table, written
+from .common import only, spare, table, unsent, written
 
 # Masks of six words found by search over all masks of at most ten places.
 MASKS = ("111111", "1101111", "11110011", "110101011", "1110010011")
@@ -188,7 +188,8 @@ def overlaps(
     passed = written(texts.mapInPandas(_scan(held, masks, filter_bits), schema))
     held.unpersist()
     hits = passed.select("text_key", F.explode(F.arrays_zip("seeds", "places")).alias("h"))
-    hits = hits.select("text_key", F.col("h.seeds").alias("seed"), F.col("h.places").alias("at")).join(seeds, "seed")
+    hits = hits.select("text_key", F.col("h.seeds").alias("seed"), F.col("h.places").alias("at"))
+    hits = unsent(hits).join(seeds, "seed")
     hits = hits.groupBy("text_key", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
     asked = hits.join(items.withColumnRenamed("text", "words"), "item").groupBy("text_key").agg(
         F.collect_list(F.struct("item_id", "words", "shifts")).alias("asked")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import only, unsent, written
 from .simhash import _FOLD, _signed, components, links
 
 BANDS, ROWS, RADIUS = 24, 5, 4
@@ -121,10 +121,10 @@ def ties(nodes: DataFrame) -> DataFrame:
     """Candidate links (a, b) between the sids of ``nodes(sid, fp, bands)``: by fingerprint, and by band beyond its radius."""
     prints = written(nodes.groupBy("fp").agg(F.min("sid").alias("rep")))
     near = links(prints, RADIUS).select("a", "b")
-    equal = nodes.select("sid", "fp").join(prints, "fp").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
+    equal = unsent(nodes.select("sid", "fp")).join(prints, "fp").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
     keys = nodes.select("sid", F.posexplode("bands").alias("band", "key"))
     groups = keys.groupBy("band", "key").agg(F.min("sid").alias("low"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    far = keys.join(groups, ["band", "key"]).select(F.col("sid").alias("a"), F.col("low").alias("b"))
+    far = unsent(keys).join(groups, ["band", "key"]).select(F.col("sid").alias("a"), F.col("low").alias("b"))
     return near.union(equal).union(far).filter("a <> b").distinct()
 
 
@@ -132,10 +132,10 @@ def edges(docs: DataFrame, nodes: DataFrame, least: float, weight: int) -> DataF
     """Verified links (a, b) between the reps of ``nodes(sid, n, fp, bands, rep)``."""
     pieces = components(written(ties(nodes))).withColumnRenamed("id", "sid").withColumnRenamed("component", "piece")
     pieces = written(pieces.union(pieces.select(F.col("piece").alias("sid"), "piece").distinct()))
-    heavy = nodes.join(pieces, "sid").select("sid", "n", "rep", "piece")
+    heavy = unsent(nodes).join(pieces, "sid").select("sid", "n", "rep", "piece")
     sums = heavy.groupBy("piece").agg(F.ceil(F.sum("n") / F.lit(weight)).cast("int").alias("parts"))
-    member = heavy.join(sums, "piece")
-    held = only(docs, "doc_id", "text").join(member, F.col("doc_id") == F.col("rep"))
+    member = unsent(heavy).join(sums, "piece")
+    held = unsent(only(docs, "doc_id", "text")).join(member, F.col("doc_id") == F.col("rep"))
     held = held.select("piece", "parts", "sid", "rep", "n", "text").mapInPandas(
         _own_sets, "piece long, parts int, sid long, rep long, n long, held binary"
     )
@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, weight: int = 1_000_000
     nodes = written(nodes)
     # One doc_id with several texts is one node: its sets are linked through the smallest id of each.
     ids = rows.select("doc_id", "sid")
-    same = ids.join(ids.groupBy("doc_id").agg(F.count_distinct("sid").alias("k")).filter("k > 1"), "doc_id")
-    bound = same.join(nodes.select("sid", "rep"), "sid").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = unsent(ids).join(ids.groupBy("doc_id").agg(F.count_distinct("sid").alias("k")).filter("k > 1"), "doc_id")
+    bound = unsent(same).join(nodes.select("sid", "rep"), "sid").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(written(edges(docs, nodes, least, weight).union(bound)))
     named = nodes.join(found, nodes.rep == found.id, "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
-    return ids.join(named, "sid", "left").select("doc_id", "component_id")
+    return unsent(ids).join(named, "sid", "left").select("doc_id", "component_id")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import only, spare, table, written
+from .common import only, spare, table, unsent, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -100,12 +100,12 @@ def disclosing(rows: DataFrame, base: DataFrame, contexts: int, share: float) ->
     counts = rows.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("all"))
     counts = counts.filter(F.col("all") >= contexts)
     held = written(entities.join(sizes, "entity"))
-    near = own.join(counts, "term").join(held, "_rid").filter(F.col("least") * F.col("all") <= F.col("of"))
+    near = unsent(unsent(own).join(counts, "term")).join(held, "_rid").filter(F.col("least") * F.col("all") <= F.col("of"))
     pairs = near.groupBy("term", "entity", "c", "least", "all").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("term", "entity", "least", "all").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
     strong = pairs.filter((F.col("contexts") >= contexts) & (F.col("n") >= F.col("least") * F.col("all")))
     strong = strong.select("term", "entity")
-    cut = own.select("_rid", "term").join(strong, "term").join(held.select("_rid", "entity"), ["_rid", "entity"])
+    cut = unsent(unsent(own.select("_rid", "term")).join(strong, "term")).join(held.select("_rid", "entity"), ["_rid", "entity"])
     cut = written(cut.select("_rid", "term").distinct())
     # Places of every word of the texts that lose one, by running sums as for base spans.
     texts = rows.join(cut.select("_rid").distinct(), "_rid", "left_semi")
@@ -117,7 +117,7 @@ def disclosing(rows: DataFrame, base: DataFrame, contexts: int, share: float) ->
     upto = Window.partitionBy("_rid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("g") + F.length("word")).over(upto)
     found = found.select("_rid", F.lower("word").alias("term"), (end - F.length("word")).alias("start"), end.alias("end"))
-    return found.join(cut, ["_rid", "term"]).select("_rid", F.lit(4).alias("kind"), "start", "end")
+    return unsent(found).join(cut, ["_rid", "term"]).select("_rid", F.lit(4).alias("kind"), "start", "end")
 
 
 def spans(rows: DataFrame, contexts: int = 3, share: float = 0.75) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from folioscope.llm import common, simhash
+from folioscope.llm import common, decontam, neardup, pii, simhash
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,27 @@ def test_simhash_broadcasts_nothing_by_guess(spark, plans):
     assert {r["component_id"] for r in got.collect()} == set(range(0, 30, 3))
     dense = spark.range(40).selectExpr("0 as n", "0l as bits", "id as fp", "id as rep")
     assert guessed(simhash._midpoints(dense, [0xFFFF], 2)) == []
+
+
+def test_near_dedup_broadcasts_nothing_by_guess(spark, plans):
+    seen = plans(simhash, neardup)
+    rows = [(i, " ".join(f"w{i // 3}-{k}" for k in range(40 - i % 3))) for i in range(30)] + [(1, "another text of that id, of some words")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert (seen + guessed(got)) == []
+    assert {r["component_id"] for r in got.collect()} == set(range(0, 30, 3))
+
+
+def test_decontamination_broadcasts_nothing_by_guess(spark, plans):
+    seen = plans(decontam)
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b one two three four zero six seven eight nine ten c"), (2, "nothing of it")], "doc_id long, text string")
+    got = decontam.overlaps(docs, bench)
+    assert seen == [] and [r["items"] for r in got.collect()] == [[1]]
+
+
+def test_pii_broadcasts_nothing_by_guess(spark, plans):
+    seen = plans(pii)
+    rows = [(i, f"write to who@x.org of zanzibar {i}" if i < 4 else f"plain text {i}") for i in range(400)]
+    got = pii.spans(spark.createDataFrame(rows, "_rid long, text string"))
+    assert (seen + guessed(got)) == []
+    assert {(r["_rid"], r["kind"]) for r in got.collect()} >= {(i, k) for i in range(4) for k in (0, 4)}
