@@ -456,8 +456,8 @@ def _named(diffs: Column) -> Column:
 @query(f"""WITH {_PAIRS} SELECT doc, {", ".join(f"floor({k} * 1000 + 0.5) / 1000 AS {k}" for k in WEIGHTS)}, {_SCORE} AS score, match, differences FROM scored""")
 def d14_drawing_compare(spark, sf_dir):
     """D14, E15, E16 in full: the drawings of each customer in two versions, with graded differences in order."""
-    side = lambda v, n: (lambda s: s.select("doc", F.struct(*[c for c in s.columns if c != "doc"]).alias(n)))(signatures(drawn(spark, sf_dir, v), "doc", "svg"))
-    rows = compared(side(0, "a").join(side(1, "b"), "doc"), "a", "b")
+    side = lambda v, n: (lambda s: s.select("doc", F.struct(*[c for c in s.columns if c != "doc"]).alias(n)))(_version(spark, sf_dir, v))
+    rows = compared(side(0, "a").hint("merge").join(side(1, "b"), "doc"), "a", "b")  # else one side would be broadcast
     return rows.select("doc", *[r3(F.col(f"likeness.{k}")).alias(k) for k in WEIGHTS], "score", "match", _named(F.col("differences")).alias("differences"))
 
 

@@ -34,11 +34,22 @@ def test_signatures_need_no_shuffle(spark):
 
 
 def test_texts_are_scanned_once_per_version(spark):
-    for run in (drawings.d13_drawing_baseline, drawings.d13_baseline_pass):
+    for run in (drawings.d13_drawing_baseline, drawings.d13_baseline_pass, drawings.d14_drawing_compare):
         said = plan(run(spark, SF))
         assert said.count("MapInArrow") == 2 and "Window" not in said and "Generate" not in said
 
 
+def test_versions_meet_without_a_broadcast(spark):
+    assert "Broadcast" not in plan(drawings.d14_drawing_compare(spark, SF))
+
+
+def test_signatures_meet_in_tasks_of_bounded_rows(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(drawings, "spread", lambda df, rows, each, *keys: (dealt.append((rows, each, keys)), df.repartition(3, *keys))[1])
+    drawings.d14_drawing_compare(spark, SF)
+    assert [d for d in dealt if d[2] == ("doc",)] == [(1500, 100_000, ("doc",))] * 2
+
+
 def test_paths_as_in_frames(spark):
     draw = random.Random(3)
     number = lambda: draw.choice(("1", "-2", ".5", "3.", "-1e1", "4E-1", "0", "7"))
